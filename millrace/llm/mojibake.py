@@ -395,16 +395,16 @@ WORD_CUT, LINE_CUT = 12.0, 4.0
 #: Words kept out of training to choose the margin: one in so many, by a hash.
 HELD_OUT = 10
 _BINS = np.arange(-12.0, 40.25, 0.25)
-_SCORERS: dict[int, Scorer] = {}
+_SCORERS: dict[int, tuple[object, Scorer]] = {}
 
 
 def _scorer(shared) -> Scorer:
     """The worker's scorer for a broadcast (model, prior); one at a time is kept."""
-    key = id(shared.value)
-    if key not in _SCORERS:
+    value = shared.value
+    if id(value) not in _SCORERS:
         _SCORERS.clear()
-        _SCORERS[key] = Scorer(*shared.value)
-    return _SCORERS[key]
+        _SCORERS[id(value)] = (value, Scorer(*value))  # the value is kept, so that no other can get its id
+    return _SCORERS[id(value)][1]
 
 
 def _count_words(texts: DataFrame, shared=None, by_line: bool = False) -> DataFrame:
