@@ -146,7 +146,29 @@ _SIZES = """body AS (SELECT file_id, count(*) AS n_lines, sum(strlen(line_text)
     sized AS (SELECT f.*, coalesce(n_lines, 0) AS n_lines, coalesce(b, 0) AS body, strlen(header_line) + 1 + coalesce(b, 0) AS true_bytes
               FROM sales_files f LEFT JOIN body USING (file_id))"""
 
+_FIELD = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(a) for a in names)}) THEN '{f}'" for f, names in schema_drift.FIELDS.items()) + " ELSE name END"
+_SPLIT = {",": ",", ";": ";", "|": r"\|", "\t": r"\t"}
+_CELLS = "CASE delim " + " ".join(
+    f"""WHEN {"chr(9)" if d == "\t" else repr(d)} THEN regexp_extract_all(delim || {{line}}, '{e}("(?:[^"]|"")*"|[^{e}]*)', 1)""" for d, e in _SPLIT.items()
+) + " END"
+_DRIFT = f"""files AS (SELECT file_id, feed, seq_no, delim, {_CELLS.format(line="header_line")} AS names FROM sales_files),
+    cols AS (SELECT file_id, feed, seq_no, pos, {_FIELD} AS field, name FROM
+        (SELECT file_id, feed, seq_no, pos, lower(trim(trim(trim(names[pos]), '"'))) AS name FROM files, unnest(range(1, len(names) + 1)) t(pos))),
+    cells AS (SELECT file_id, {_CELLS.format(line="line_text")} AS c FROM file_rows JOIN sales_files USING (file_id)),
+    flat AS (SELECT file_id, pos, CASE WHEN starts_with(c[pos], '"') THEN replace(c[pos][2:-2], '""', '"') ELSE c[pos] END AS cell FROM cells, unnest(range(1, len(c) + 1)) t(pos)),
+    kinds AS (SELECT file_id, pos, CASE WHEN bool_and(regexp_full_match(cell, '[+-]?[0-9]+')) THEN 'long'
+        WHEN bool_and(regexp_full_match(cell, '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)')) THEN 'double'
+        WHEN bool_and(regexp_full_match(cell, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')) THEN 'date' ELSE 'string' END AS kind FROM flat WHERE cell <> '' GROUP BY file_id, pos),
+    typed AS (SELECT c.*, last_value(k.kind IGNORE NULLS) OVER (PARTITION BY feed, field ORDER BY seq_no ROWS UNBOUNDED PRECEDING) AS kind FROM cols c LEFT JOIN kinds k USING (file_id, pos)),
+    pairs AS (SELECT file_id, lag(file_id) OVER (PARTITION BY feed ORDER BY seq_no) AS before FROM sales_files),
+    now AS (SELECT p.file_id, p.before, t.field, t.name, t.kind FROM pairs p JOIN typed t USING (file_id) WHERE p.before IS NOT NULL),
+    old AS (SELECT p.file_id, t.field, t.name, t.kind FROM pairs p JOIN typed t ON t.file_id = p.before)"""
+
 SQL: dict[str, str] = {
+    "p2_found": f"""WITH {_DRIFT}, joined AS (SELECT coalesce(n.file_id, o.file_id) AS file_id, coalesce(n.field, o.field) AS field_name, n.field AS nf, o.field AS of, n.name AS nn, o.name AS oname, n.kind AS nk, o.kind AS ok
+            FROM now n FULL JOIN old o ON n.file_id = o.file_id AND n.field = o.field)
+        SELECT file_id, field_name, 'added' AS change_kind FROM joined WHERE of IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM joined WHERE nf IS NULL
+        UNION ALL SELECT file_id, field_name, 'renamed' FROM joined WHERE nn <> oname UNION ALL SELECT file_id, field_name, 'retyped' FROM joined WHERE nk <> ok""",
     "p1_totals": f"""SELECT field_name, key_value, count(*) AS n_rows, count(amount) FILTER (WHERE NOT isnan(amount)) AS n_values,
         round(coalesce(sum(amount) FILTER (WHERE NOT isnan(amount)), 0), 2) AS total FROM ({_KEYS}) GROUP BY 1, 2""",
     "p1_found": f"""WITH t AS (SELECT field_name, key_value, count(*) AS n FROM ({_KEYS}) WHERE key_value IS NOT NULL GROUP BY 1, 2)
