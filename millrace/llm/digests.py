@@ -110,6 +110,14 @@ def combine(digests: DataFrame, keys: Sequence[str], compression: float = COMPRE
     return digests.groupBy(*keys).applyInPandas(_merger(keys, compression), kind)
 
 
+def _splits(df: DataFrame) -> int:
+    """About how many tasks read ``df``, from the planner's estimate of its bytes; nothing is run."""
+    spark = df.sparkSession
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(1, size // split)
+
+
 def digest(df: DataFrame, keys: Sequence[str], value: str, compression: float = COMPRESSION) -> DataFrame:
     """One digest for each group: ``keys..., n, low, high, means, weights``.
 
@@ -123,7 +131,7 @@ def digest(df: DataFrame, keys: Sequence[str], value: str, compression: float =
     names = [f"k{i}" for i in range(len(keys))]
     kind = ", ".join(f"{k} string" for k in names) + ", _part int, " + _DIGEST
     partial = finite.select(*columns, usable.alias("v")).mapInArrow(_partial(len(keys), compression), kind)
-    splits = partial.rdd.getNumPartitions() if not df.isStreaming else 1
+    splits = _splits(df)
     if splits > FAN_IN:
         step = partial.withColumn("_part", (F.col("_part") % math.isqrt(splits)).cast("string"))
         partial = combine(step, [*names, "_part"], compression)
