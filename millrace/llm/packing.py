@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items packed together; containers are as full with this many as with all.
-SHARD_ITEMS = 20_000
+#: Items packed together: 2,000 fill containers of about ten items to 99.4 %, ten times as many to 99.5 % at 30 times the work an item.
+SHARD_ITEMS = 2_000
 
 _Slot = tuple[int, object]
 
@@ -98,19 +98,22 @@ def pack(sizes: Sequence[int], capacity: int) -> list[tuple[int, list[int]]]:
     return windows
 
 
-def pack_items(items: DataFrame, item_id: str, size: str, capacity: int, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack_items(items: DataFrame, item_id: str, size: str, capacity: int, shard_items: int = SHARD_ITEMS, n_items: int | None = None) -> DataFrame:
     """``container, <item_id>, piece_no, first_unit, n_units, container_units``: one row a placed piece.
 
     An item is split only if it alone exceeds the capacity: into pieces that each fill a container
     and a rest that is packed like any other item.  Items of size 0 or null take no room but do get
     a container.  Repeated items and null ids are items like others.  Items are dealt evenly to
     shards of about ``shard_items``, whatever their ids or sizes, and each shard is packed on its
-    own; an empty table gives no rows.
+    own; an empty table gives no rows.  ``n_items``, where it is known more cheaply than by counting
+    ``items``, only sets the number of shards.
     """
     if capacity < 1:
         raise ValueError("the capacity must be at least 1")
     kind = dict(items.dtypes)[item_id]
-    shards = max(1, -(-items.count() // shard_items))
+    shards = max(1, -(-(items.count() if n_items is None else n_items) // shard_items))
+    spark = items.sparkSession
+    tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
     row = F.monotonically_increasing_id()
     dealt = items.select(F.col(item_id).alias("id"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("size"), row.alias("row"))
     dealt = dealt.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)))
@@ -136,7 +139,8 @@ def pack_items(items: DataFrame, item_id: str, size: str, capacity: int, shard_i
         return pd.DataFrame(out, columns=["container", item_id, "piece_no", "first_unit", "n_units", "container_units"])
 
     schema = f"container string, `{item_id}` {kind}, piece_no int, first_unit bigint, n_units bigint, container_units bigint"
-    return dealt.groupBy("shard").applyInPandas(run, schema)
+    # few bytes but much work: a given number of partitions, which adaptive execution doesn't coalesce
+    return dealt.repartition(tasks, "shard").groupBy("shard").applyInPandas(run, schema)
 
 
 def fill_report(packed: DataFrame, capacity: int) -> DataFrame:

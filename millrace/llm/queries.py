@@ -42,8 +42,9 @@ def p6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = tokens.with_token_counts(_table(spark, sf_dir, "documents"), "text", ["doc_id"])
-    return packing.pack_items(sized, "doc_id", "n_tokens", CAPACITY)
+    documents = _table(spark, sf_dir, "documents")
+    sized = tokens.with_token_counts(documents, "text", ["doc_id"])
+    return packing.pack_items(sized, "doc_id", "n_tokens", CAPACITY, n_items=documents.count())
 
 
 def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
