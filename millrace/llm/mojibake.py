@@ -12,6 +12,7 @@ Passages are lines; their words are scored once per worker and the scores summed
 
 from __future__ import annotations
 
+import codecs
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -71,24 +72,37 @@ SINGLES, MULTIS = _singles(), _multis()
 CHAINS: list[tuple[str, ...]] = [*SINGLES, *MULTIS]
 
 
+@lru_cache(maxsize=None)
+def _letters(encoding: str) -> str:
+    """The characters of all 256 bytes."""
+    return "".join(map(chr, _table(encoding)))
+
+
+@lru_cache(maxsize=None)
+def _charmap(encoding: str):
+    return codecs.charmap_build(_letters(encoding))
+
+
+def _encoded(text: str, encoding: str) -> bytes | None:
+    try:
+        return codecs.charmap_encode(text, "strict", _charmap(encoding))[0]
+    except UnicodeEncodeError:
+        return None
+
+
 def apply_chain(text: str, chain: tuple[str, ...], errors: str = "strict") -> str | None:
     """``text`` encoded and decoded along ``chain``; None where that is impossible."""
     for read, written in zip(chain[::2], chain[1::2], strict=True):
-        codes = np.fromiter(map(ord, text), np.int64, len(text))
-        if len(codes) and codes.max() >= UNI:
-            return None
-        data = _inverse(read)[codes]
-        data[codes < 128] = codes[codes < 128]
-        if (data < 0).any():
+        raw = _encoded(text, read)
+        if raw is None:
             return None
-        raw = data.astype(np.uint8).tobytes()
         if written in MULTIBYTE:
             try:
                 text = raw.decode(written, errors)
             except UnicodeDecodeError:
                 return None
         else:
-            text = "".join(map(chr, _table(written)[data]))
+            text = codecs.charmap_decode(raw, "strict", _letters(written))[0]
     return text
 
 
@@ -102,15 +116,10 @@ def garble(text: str, chain: tuple[str, ...]) -> str | None:
             except UnicodeEncodeError:
                 return None
         else:
-            codes = np.fromiter(map(ord, text), np.int64, len(text))
-            if len(codes) and codes.max() >= UNI:
+            raw = _encoded(text, written)
+            if raw is None:
                 return None
-            data = _inverse(written)[codes]
-            data[codes < 128] = codes[codes < 128]
-            if (data < 0).any():
-                return None
-            raw = data.astype(np.uint8).tobytes()
-        text = "".join(map(chr, _table(read)[np.frombuffer(raw, np.uint8)]))
+        text = codecs.charmap_decode(raw, "strict", _letters(read))[0]
     return text
 
 
@@ -233,12 +242,23 @@ def gains(model: Model, words: list[str]) -> np.ndarray:
         pairs = (raw[:-1] >= 0xC2) & (raw[:-1] < 0xF5) & (raw[1:] >= 0x80) & (raw[1:] < 0xC0)
         utf = np.add.reduceat(np.append(pairs, False).astype(np.int64), at) * 4 >= n_beyond[fits]
         dense = (n_beyond[fits] >= 2) & (n_beyond[fits] * 3 >= lengths[fits] - 3)
-        for j, chain in _MULTI_BY_READ[read]:
-            for i in fits[utf if chain[1] == "utf_8" else dense]:
-                fixed = _decoded(words[i], chain)
+        for i in fits[utf]:
+            first = _read_as_utf8(words[i], read)
+            if first is not None and first != words[i]:
+                decoded.append(first)
+                where.append((i, _PLACE[read, "utf_8"]))
+                if not first.isascii() and REPLACEMENT not in first:
+                    for again, j in _TWICE.get(read, ()):
+                        second = _read_as_utf8(first, again, False)
+                        if second is not None and second != first:
+                            decoded.append(second)
+                            where.append((i, j))
+        for i in fits[dense]:
+            for written in MULTIBYTE[1:]:
+                fixed = apply_chain(words[i], (read, written))
                 if fixed is not None and fixed != words[i]:
                     decoded.append(fixed)
-                    where.append((i, j))
+                    where.append((i, _PLACE[read, written]))
     if decoded:
         rows, columns = np.array(where).T
         fresh, begins = _codes(decoded)
@@ -253,32 +273,22 @@ def _member(positions: np.ndarray, size: int) -> np.ndarray:
 
 
 _BY_READ = {r: [(i, w) for i, (r2, w) in enumerate(SINGLES) if r2 == r] for r in READ_AS}
-_MULTI_BY_READ = {r: [(len(SINGLES) + j, c) for j, c in enumerate(MULTIS) if c[0] == r] for r in READ_AS}
+_PLACE = {c: len(SINGLES) + j for j, c in enumerate(MULTIS)}
+_TWICE = {r: [(c[2], j) for c, j in _PLACE.items() if len(c) == 4 and c[0] == r] for r in READ_AS}
 
 
-def _decoded(word: str, chain: tuple[str, ...]) -> str | None:
-    """A word along a multi-byte chain; where bytes were lost on the way, as much of it as can be read."""
-    first = chain[0]
-    table = _PY_ENCODERS.get(first)
-    if table is None:
-        inverse = _inverse(first)
-        table = _PY_ENCODERS[first] = {int(c): int(b) for c, b in enumerate(inverse) if b >= 0 and c >= 128} | {c: c for c in range(128)}
-    try:
-        raw = bytes([table[ord(ch)] for ch in word])
-    except KeyError:
+def _read_as_utf8(word: str, read: str, lenient: bool = True) -> str | None:
+    """A word's bytes as UTF-8; where some were lost on the way, as much of it as can be read."""
+    raw = _encoded(word, read)
+    if raw is None:
         return None
     try:
-        text = raw.decode(chain[1])
+        return raw.decode("utf_8")
     except UnicodeDecodeError:
-        if chain[1] != "utf_8" or len(chain) > 2:
-            return None
-        text = raw.decode("utf_8", "replace")
-        if 2 * text.count(REPLACEMENT) >= sum(ch > "\x7f" for ch in text):
+        if not lenient:
             return None
-    return text if len(chain) == 2 else _decoded(text, chain[2:])
-
-
-_PY_ENCODERS: dict[str, dict[int, int]] = {}
+    text = raw.decode("utf_8", "replace")
+    return None if 2 * text.count(REPLACEMENT) >= sum(ch > "\x7f" for ch in text) else text
 
 
 #: Encodings whose readers drop control characters, so that bytes get lost.
@@ -315,22 +325,23 @@ class _Losses:
     def candidates(self, word: str, i: int) -> list[str]:
         """Some likely originals of a word with losses: the longest remainders first, a few originals for each."""
         table, firsts = self.options[i], self.firsts[i]
-        if not any(ch in firsts for ch in word):
+        if firsts.isdisjoint(word):
             return []
         out, at, lost = [""], 0, False
         while at < len(word):
-            for size in range(self.longest[i], 0, -1):
+            if word[at] not in firsts:
+                out = [o + word[at] for o in out]
+                at += 1
+                continue
+            for size in range(min(self.longest[i], len(word) - at), 0, -1):
                 found = table.get(word[at : at + size])
-                if found and at + size <= len(word):
+                if found:
                     out = [o + f for o in out for f in found][: _BEAM * _BEAM]
                     lost = True
                     at += size
                     break
             else:
-                if word[at] > "\x7f" and word[at] in firsts:
-                    return []
-                out = [o + word[at] for o in out]
-                at += 1
+                return []
         return out if lost else []
 
 
@@ -485,7 +496,7 @@ def _prior(words: DataFrame, shared) -> np.ndarray:
 def _margin(held: DataFrame, shared, garbled_share: float) -> float:
     """The margin with the fewest errors on held-out words as they are and garbled along the commonest chains."""
     prior = shared.value[1]
-    common = [int(i) for i in np.argsort(-prior)[:16] if len(CHAINS[int(i)]) % 2 == 0]
+    common = [int(i) for i in np.argsort(-prior)[:12] if len(CHAINS[int(i)]) % 2 == 0]
     odds = np.exp(prior[common])
     odds = odds / odds.sum()
 
