@@ -25,6 +25,8 @@ from millrace.session import cut_lineage
 TRAIN_ROWS = 20_000
 #: Hashed token features of the classifier.
 FEATURES = 4096
+#: Steps end when every share is this near to its target, or the objective falls by less than a twentieth.
+TOLERANCE = 1e-4
 #: Targets and sources are collected; there may be no more than this.
 MAX_SOURCES = 1000
 
@@ -128,11 +130,12 @@ class _Problem:
     def memberships(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         """A row of memberships for each record, and its cap (for a soft member the expected one, rounded down)."""
         member = np.zeros((len(pdf), len(self.domains)))
-        for i, (s, p) in enumerate(zip(pdf["source"], pdf["posterior"], strict=True)):
-            if s is not None and s in self.at:
-                member[i, self.at[s]] = 1.0
-            elif p is not None:
-                member[i, self.columns] = p
+        home = pdf["source"].map(self.at)
+        known = np.flatnonzero(home.notna())
+        member[known, home.iloc[known].astype(np.int64)] = 1.0
+        soft = np.flatnonzero((home.isna() & pdf["posterior"].notna()).to_numpy())
+        if len(soft):
+            member[np.ix_(soft, self.columns)] = np.vstack(list(pdf["posterior"].iloc[soft]))
         return member, np.floor(member @ self.cap + 1e-9)
 
     def rates(self, member: np.ndarray, cap: np.ndarray) -> np.ndarray:
@@ -187,10 +190,13 @@ def mix(documents: DataFrame, targets: DataFrame, doc_id: str, text: str, source
     wished = goal > 0
     size = total if total is not None else (float((room[wished] / goal[wished]).min()) if wished.any() else 0.0)
     metric = np.where(room > 0, room / np.maximum(cap, 1), 1.0)
+    last = np.inf
     for _ in range(iterations if size > 0 else 0):
         residual = (sums(problem, False) if problem.steps else np.zeros(len(domains))) - size * goal
-        if np.abs(residual).max() <= 1e-6 * size:
-            break
+        miss = float((residual**2 / metric).sum())
+        if np.abs(residual).max() <= TOLERANCE * size or miss > 0.95 * last:
+            break  # near enough, or as near as the caps allow
+        last = miss
         problem.steps.append(residual / metric)
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
