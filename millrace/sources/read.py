@@ -35,11 +35,20 @@ def _simple(kind: T.DataType) -> T.DataType:
     return kind if isinstance(kind, T.BooleanType) else T.StringType()
 
 
-def read_delimited(spark: SparkSession, files: Sequence[str], sep: str = ",", schema: T.StructType | None = None, multiline: bool = True) -> DataFrame:
+def _cells_span_lines(spark: SparkSession, files: Sequence[str]) -> bool:
+    """Whether a quoted cell holds a line break: then, and only then, some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(list(files)).where(F.col("value").contains('"') & (quotes % 2 == 1)).limit(1).isEmpty()
+
+
+def read_delimited(spark: SparkSession, files: Sequence[str], sep: str = ",", schema: T.StructType | None = None, multiline: bool | None = None) -> DataFrame:
     """CSV or TSV files that share one header. Without ``schema`` one pass infers it; empty cells are null.
 
-    ``multiline=False`` lets big files be split; quoted cells can then hold no line breaks.
+    Files whose quoted cells hold line breaks (``multiline``; None: found out by a scan of the quotes)
+    are read whole by one task each, all others are split.
     """
+    if multiline is None:
+        multiline = _cells_span_lines(spark, files)
     reader = spark.read.options(**_CSV).option("sep", sep).option("multiLine", str(multiline).lower())
     if schema is None:
         seen = reader.option("inferSchema", "true").csv(list(files)).schema
