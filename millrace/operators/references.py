@@ -13,12 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_FOREVER = 2**63 - 1
-_KEY = ["_k1", "_k2", "_slice"]
-#: A hot key's slices; together with HOT_KEYS this bounds what is sent to the driver: 2,000 arrays of 1,000 instants.
-MAX_SLICES = 1000
-HOT_KEYS = 2000
-
+from millrace.operators.slices import FOREVER, KEY, find_hot, hot_frame, sliced
 
 def _instant(col: Column) -> Column:
     return F.unix_micros(col.cast("timestamp"))
@@ -28,59 +23,22 @@ def _hash(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("_k1"), F.xxhash64(F.lit(1), key).alias("_k2")]
 
 
-def _hot(moments: DataFrame, hot_rows: int) -> tuple[list[tuple], int]:
-    """Keys with more rows than hot_rows or a 2,000th of all rows, each with its slices' starts."""
-    total = moments.count()
-    limit = max(hot_rows, total // HOT_KEYS)
-    if total <= limit:
-        return [], limit
-    counts = moments.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limit)
-    found = counts.collect()  # at most HOT_KEYS rows, as each holds more than a 2,000th of all
-    if not found:
-        return [], limit
-    keys = moments.sparkSession.createDataFrame([(r._k1, r._k2) for r in found], "_k1 long, _k2 long")
-    steps = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    cuts = (
-        moments.join(F.broadcast(keys), ["_k1", "_k2"])
-        .groupBy("_k1", "_k2")
-        .agg(F.percentile_approx("_at", steps, 10 * MAX_SLICES).alias("cuts"))
-        .collect()
-    )
-    n_rows = {(r._k1, r._k2): r.n for r in found}
-    out = []
-    for r in cuts:
-        slices = min(MAX_SLICES, -(-n_rows[r._k1, r._k2] // limit))
-        starts = sorted({r.cuts[i * (MAX_SLICES - 1) // slices] for i in range(1, slices)}) if r.cuts else []
-        out.append((r._k1, r._k2, [-_FOREVER - 1, *starts]))
-    return out, limit
-
-
-def _sliced(df: DataFrame, hot: DataFrame | None) -> DataFrame:
-    """Adds the slice a row lies in: 0 for all rows of a key that isn't hot."""
-    if hot is None:
-        return df.withColumn("_slice", F.lit(0))
-    starts = F.broadcast(hot.select("_k1", "_k2", "starts"))
-    at = F.coalesce(F.col("_at"), F.lit(_FOREVER))
-    place = F.size(F.filter("starts", lambda x: x <= at)) - 1
-    return df.join(starts, ["_k1", "_k2"], "left").withColumn("_slice", F.when(F.col("starts").isNull(), 0).otherwise(place)).drop("starts")
-
-
 def parent_runs(stays: DataFrame, hot: DataFrame | None = None) -> DataFrame:
     """Stays ``_k1, _k2, _at, _end`` compressed into disjoint runs; touching and overlapping stays become one run."""
-    stays = _sliced(stays, hot)
+    stays = sliced(stays, hot)
     if hot is not None:
-        # the latest end among the earlier slices of a hot key is open, or not, where a slice starts
-        ends = stays.join(F.broadcast(hot.select("_k1", "_k2")), ["_k1", "_k2"], "left_semi").groupBy(*_KEY).agg(F.max("_end").alias("_end"))
+        # the latest end among a hot key's earlier slices, open or past, is carried to where a slice starts
+        ends = stays.join(F.broadcast(hot.select("_k1", "_k2")), ["_k1", "_k2"], "left_semi").groupBy(*KEY).agg(F.max("_end").alias("_end"))
         slices = hot.select("_k1", "_k2", F.posexplode("starts").alias("_slice", "_at"))
         before = Window.partitionBy("_k1", "_k2").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-        carried = slices.join(ends, _KEY, "left").withColumn("_end", F.max("_end").over(before))
-        stays = stays.unionByName(carried.where(F.col("_end") > F.col("_at")).select(*stays.columns))
-    by = Window.partitionBy(*_KEY).orderBy("_at", F.desc("_end"))
+        carried = slices.join(ends, KEY, "left").withColumn("_end", F.max("_end").over(before))
+        stays = stays.unionByName(carried.where(F.col("_end").isNotNull()).select(*stays.columns))
+    by = Window.partitionBy(*KEY).orderBy("_at", F.desc("_end"))
     reach = F.max("_end").over(by.rowsBetween(Window.unboundedPreceding, -1))
     opened = stays.withColumn("_new", F.when(F.col("_at") <= reach, 0).otherwise(1))
     run = F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     numbered = opened.withColumn("_run", run)
-    return numbered.groupBy(*_KEY, "_run").agg(F.min("_at").alias("_at"), F.max("_end").alias("_end")).drop("_run")
+    return numbered.groupBy(*KEY, "_run").agg(F.min("_at").alias("_at"), F.max("_end").alias("_end")).drop("_run")
 
 
 def orphan_references(
@@ -105,20 +63,18 @@ def orphan_references(
     if any(c.startswith("_") for c in refs.columns):
         raise ValueError("column names that begin with an underscore are reserved")
     moments = refs.where(F.col(key).isNotNull()).select("*", *_hash(F.col(key)), _instant(F.col(at)).alias("_at"))
-    last = F.lit(_FOREVER) if end is None else F.coalesce(_instant(F.col(end)), F.lit(_FOREVER))
+    last = F.lit(FOREVER) if end is None else F.coalesce(_instant(F.col(end)), F.lit(FOREVER))
     stays = (
         parents.where(F.col(parent_key).isNotNull() & F.col(start).isNotNull())
         .select(*_hash(F.col(parent_key)), _instant(F.col(start)).alias("_at"), last.alias("_end"))
         .where(F.col("_end") > F.col("_at"))
     )
-    spark = refs.sparkSession
     columns = ["_k1", "_k2", "_at"]
-    found, _ = _hot(moments.select(columns).unionByName(stays.select(columns)), hot_rows)
-    hot = spark.createDataFrame(found, "_k1 long, _k2 long, starts array<long>") if found else None
+    hot = hot_frame(refs.sparkSession, find_hot(moments.select(columns).unionByName(stays.select(columns)), hot_rows))
     runs = parent_runs(stays, hot).withColumn("_kind", F.lit(0))
-    events = _sliced(moments, hot).withColumn("_kind", F.lit(1)).unionByName(runs, allowMissingColumns=True)
-    # a null time sorts before every run and so finds none
-    order = Window.partitionBy(*_KEY).orderBy(F.col("_at").asc_nulls_first(), "_kind")
+    events = sliced(moments, hot).withColumn("_kind", F.lit(1)).unionByName(runs, allowMissingColumns=True)
+    # a null time sorts before every run and so finds none; of runs with one start the longest comes last
+    order = Window.partitionBy(*KEY).orderBy(F.col("_at").asc_nulls_first(), "_kind", "_end")
     until = F.last("_end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     matched = events.withColumn("_until", until).where(F.col("_kind") == 1)
     orphans = matched.where(F.col("_until").isNull() | (F.col("_until") <= F.col("_at")))
