@@ -295,13 +295,13 @@ def _flagship(t: Tables) -> DataFrame:
     lines = filter_rows(t("lineitem"), "l_returnflag = 'R'").withColumn("revenue", F.col("l_extendedprice") * (1 - F.col("l_discount"))).withColumnRenamed("l_orderkey", "o_orderkey")
     rich = join(join(lines, orders, "o_orderkey"), select(t("customer"), "c_custkey,c_nationkey").withColumnRenamed("c_nationkey", "n_nationkey"), "c_custkey")
     named = join(rich, select(t("nation"), "n_nationkey,n_name"), "n_nationkey")
-    return sort(group(named, "n_name", sum="revenue", count="revenue").withColumn("revenue_sum", F.round("revenue_sum", 2)), "revenue_sum:desc")
+    return sort(group(named, "n_name", sum="revenue", count="revenue").withColumn("revenue_sum", F.round("revenue_sum", 4)), "revenue_sum:desc")
 
 
 _add(
     "pipeline_flagship",
     _flagship,
-    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue_sum, count(*) AS revenue_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 4) AS revenue_sum, count(*) AS revenue_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
        JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R' AND o_totalprice > 1000 AND o_orderdate >= TIMESTAMP '1993-01-01' GROUP BY n_name""",
 )
 _add(
