@@ -13,7 +13,7 @@ Passages are lines; their words are scored once per worker and the scores summed
 from __future__ import annotations
 
 import codecs
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -33,7 +33,8 @@ _K = 4.0
 #: Gain of a chain that can't be applied to a word.
 NOT_APPLICABLE = -25.0
 REPLACEMENT = "�"
-_CACHE = 60_000
+#: Words whose gains a worker keeps (about 1 kB each), and words scored at once.
+_CACHE, _PORTION = 60_000, 100_000
 
 
 @lru_cache(maxsize=None)
@@ -374,21 +375,40 @@ class Scorer:
         self.prior = prior if prior is not None else np.zeros(len(CHAINS), np.float32)
         self.known: dict[str, tuple[float, np.ndarray]] = {}
 
-    def learn(self, words: list[str]) -> None:
-        if len(self.known) > _CACHE:
+    def prepare(self, words: Iterable[str]) -> None:
+        """Scores the words that aren't known; at most _CACHE words are kept, or those just asked for."""
+        wanted = set(words)
+        new = [w for w in wanted if w not in self.known]
+        if len(self.known) + len(new) > _CACHE:
             self.known.clear()
-        for lo in range(0, len(words), 4096):
-            part = words[lo : lo + 4096]
+            new = list(wanted)
+        for lo in range(0, len(new), 4096):
+            part = new[lo : lo + 4096]
             table = gains(self.model, part)
             _with_losses(self.model, self.losses, part, table)
             for word, row in zip(part, table, strict=True):
                 self.known[word] = (float(row.max()), row)
 
-    def prepare(self, documents: list[list[list[str]]]) -> None:
-        new = {w for lines in documents for words in lines for w in words}
-        if len(self.known) > _CACHE:
-            self.known.clear()
-        self.learn([w for w in new if w not in self.known])
+    def over_lines(self, documents: list[list[list[str]]], judge: Callable[[list[str]], object]) -> list[list]:
+        """``judge`` of each line of each document, in portions of lines whose words fit into memory, however long a document is."""
+        out: list[list] = [[] for _ in documents]
+        portion: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def settle() -> None:
+            self.prepare(w for _, words in portion for w in words)
+            for i, words in portion:
+                out[i].append(judge(words))
+
+        for i, lines in enumerate(documents):
+            for words in lines:
+                portion.append((i, words))
+                size += len(words)
+                if size >= _PORTION:
+                    settle()
+                    portion, size = [], 0
+        settle()
+        return out
 
     def line(self, words: list[str]) -> tuple[float, int]:
         """The best chain's summed gain along a line, with its prior, and the chain."""
@@ -424,19 +444,18 @@ def _count_words(texts: DataFrame, shared=None, by_line: bool = False) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared) if shared is not None else None
         counts: dict[str, int] = {}
+
+        def clean(words: list[str]) -> bool:
+            return scorer.line(words)[0] <= 1.0 if by_line else all(scorer.known[w][0] <= LINE_CUT for w in words)
+
         for batch in batches:
             documents = [words_beyond_ascii(t) for t in batch.column(0).to_pylist() if t]
-            if scorer is not None:
-                scorer.prepare(documents)
-            for lines in documents:
-                for words in lines:
-                    if scorer is not None:
-                        if by_line and scorer.line(words)[0] > 1.0:
-                            continue
-                        if not by_line and any(scorer.known[w][0] > LINE_CUT for w in words):
-                            continue
-                    for w in words:
-                        counts[w] = counts.get(w, 0) + 1
+            kept = scorer.over_lines(documents, clean) if scorer is not None else None
+            for i, lines in enumerate(documents):
+                for j, words in enumerate(lines):
+                    if kept is None or kept[i][j]:
+                        for w in words:
+                            counts[w] = counts.get(w, 0) + 1
             if len(counts) > 200_000:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
                 counts = {}
@@ -480,7 +499,7 @@ def _prior(words: DataFrame, shared) -> np.ndarray:
         for batch in batches:
             names = batch.column(0).to_pylist()
             for lo in range(0, len(names), 4096):
-                scorer.prepare([[names[lo : lo + 4096]]])
+                scorer.prepare(names[lo : lo + 4096])
                 for w in names[lo : lo + 4096]:
                     best, row = scorer.known[w]
                     if best > WORD_CUT:
@@ -506,7 +525,7 @@ def _margin(held: DataFrame, shared, garbled_share: float) -> float:
 
         def add(row: int, names: list[str], weights: list[float]) -> None:
             for lo in range(0, len(names), 4096):
-                scorer.prepare([[names[lo : lo + 4096]]])
+                scorer.prepare(names[lo : lo + 4096])
                 for w, n in zip(names[lo : lo + 4096], weights[lo : lo + 4096], strict=True):
                     table[row, int(np.searchsorted(_BINS, scorer.line([w])[0]))] += n
 
@@ -573,7 +592,7 @@ def _without(words: DataFrame, shared, cut: float) -> DataFrame:
             names = batch.column(0).to_pylist()
             keep = []
             for lo in range(0, len(names), 4096):
-                scorer.prepare([[names[lo : lo + 4096]]])
+                scorer.prepare(names[lo : lo + 4096])
                 keep += [scorer.known[w][0] <= cut for w in names[lo : lo + 4096]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
@@ -595,13 +614,12 @@ def _restore_word(scorer: Scorer, word: str, chain: tuple[str, ...]) -> tuple[st
     return (fixed if fixed is not None and fixed.count(REPLACEMENT) < len(fixed) / 2 else word), False
 
 
-def _judge(scorer: Scorer, text: str, lines: list[list[str]], restore: bool):
+def _judge(scorer: Scorer, text: str, lines: list[list[str]], scores: list[tuple[float, int]], restore: bool):
     """None for a clean text, else (lines found, chain of most of them, highest score, restored text, whether all of it could be)."""
     margin = scorer.model.margin
     found: dict[int, int] = {}
     high = -1.0
-    for words in lines:
-        score, chain = scorer.line(words)
+    for score, chain in scores:
         if score > margin:
             found[chain] = found.get(chain, 0) + 1
             high = max(high, score)
@@ -612,17 +630,21 @@ def _judge(scorer: Scorer, text: str, lines: list[list[str]], restore: bool):
     name = ">".join(CHAINS[main]) if found else "lost"
     if not restore:
         return sum(found.values()), name, high, None, False
-    whole, out = not lost, []
+    whole, out, at = not lost, [], 0
     most = 2 * found.get(main, 0) >= len(lines)
     for line in text.split("\n"):
         if line.isascii():
             out.append(line)
             continue
-        words = [w for w in line.replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii()]
-        score, chain = scorer.line(words)
+        words, (score, chain) = lines[at], scores[at]
+        at += 1
         if score <= margin:
-            own = sum(float(scorer.known[w][1][main]) for w in words) if found and most else NOT_APPLICABLE
-            if own <= -2.0:
+            # in a text that is garbled for the most part, a line that doesn't speak against it follows
+            if not (found and most):
+                out.append(line)
+                continue
+            scorer.prepare(words)
+            if sum(float(scorer.known[w][1][main]) for w in words) <= -2.0:
                 out.append(line)
                 continue
             chain = main
@@ -651,9 +673,9 @@ def find_garbled(documents: DataFrame, doc_id: str, text: str, restore: bool = T
         scorer = _scorer(shared)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            documents_ = [words_beyond_ascii(t) for t in texts]
-            scorer.prepare(documents_)
-            rows = [(i, r) for i, (t, lines) in enumerate(zip(texts, documents_, strict=True)) if lines and (r := _judge(scorer, t, lines, restore)) is not None]
+            split = [words_beyond_ascii(t) for t in texts]
+            scores = scorer.over_lines(split, scorer.line)
+            rows = [(i, r) for i, (t, lines) in enumerate(zip(texts, split, strict=True)) if lines and (r := _judge(scorer, t, lines, scores[i], restore)) is not None]
             ids = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([r[0] for _, r in rows], pa.int32()), pa.array([r[1] for _, r in rows], pa.string()), pa.array([r[2] for _, r in rows], pa.float64()),
