@@ -80,3 +80,11 @@ def bars(labels: list[str], counts: list[int], width: int = 50) -> str:
     """A bar a line, the longest ``width`` signs wide, labels cut at 30."""
     most = max(counts, default=0)
     return "\n".join(f"{cell_text(label, 30):<30} {'█' * (math.ceil(n / most * width) if most else 0)} {n}" for label, n in zip(labels, counts, strict=True))
+
+
+def render(df: DataFrame, n: int = 20) -> str:
+    """The first ``n`` rows as a grid of text."""
+    rows = [[cell_text(v) for v in r] for r in df.limit(n).collect()]
+    widths = [max([len(c), *(len(r[i]) for r in rows)]) for i, c in enumerate(df.columns)]
+    lines = [" | ".join(f"{v:<{w}}" for v, w in zip(line, widths, strict=True)).rstrip() for line in [df.columns, *rows]]
+    return "\n".join([lines[0], "-+-".join("-" * w for w in widths), *lines[1:]])

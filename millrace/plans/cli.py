@@ -9,10 +9,11 @@ import argparse
 import os
 import sys
 
+from millrace.operators.profile import render
 from millrace.plans.pipeline import PLUGINS, Pipeline, load_plugins
 from millrace.session import local_session
 from millrace.sources.read import preview_schema, read_lines
-from millrace.sources.write import print_csv
+from millrace.sources.write import print_arrow, print_csv
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -60,11 +61,18 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("-n", type=int, default=10)
     p = sub.add_parser("sql", help="query the table stdin")
     p.add_argument("query")
+    p.add_argument("--file", action="store_true", help="accepted; tables are read in place")
+    p.add_argument("--arrow", action="store_true", help="accepted; tables are read in place")
     p = sub.add_parser("run", help="run a plugin")
     p.add_argument("name")
     p.add_argument("args", nargs="*")
-    p = sub.add_parser("store", help="write a file")
-    p.add_argument("path")
+    p = sub.add_parser("store", help="write a file (none: CSV on standard output)")
+    p.add_argument("path", nargs="?")
+    p = sub.add_parser("save", help="keep the steps before as a plugin instead of running them")
+    p.add_argument("name")
+    p.add_argument("--desc", default="")
+    p = sub.add_parser("view", help="show the first rows as a grid")
+    p.add_argument("-n", type=int, default=20)
     sub.add_parser("plugins", help="list plugins")
     return top
 
@@ -114,16 +122,24 @@ def pipeline_of(steps: list[argparse.Namespace]) -> Pipeline:
             out = out.then("sql", query=a.query)
         elif a.step == "run":
             out = out.then("run", name=a.name, args=a.args)
-        elif a.step == "store":
+        elif a.step == "store" and a.path:
             out = out.then("store", path=a.path, single_file=True)
+        elif a.step == "view":
+            out = out.then("limit", n=a.n)
         elif a.step in ("describe", "nulls"):
             out = out.then(a.step)
     return out
 
 
 def main(argv: list[str] | None = None) -> int:
-    steps = parse(sys.argv[1:] if argv is None else argv)
-    load_plugins(os.environ.get("MILLRACE_PLUGINS", os.path.expanduser("~/.millrace/plugins")))
+    argv = list(sys.argv[1:] if argv is None else argv)
+    arrow = "--output=arrow" in argv
+    steps = parse([a for a in argv if a not in ("--output=arrow", "--output=csv")])
+    folder = os.environ.get("MILLRACE_PLUGINS", os.path.expanduser("~/.millrace/plugins"))
+    load_plugins(folder)
+    if steps[-1].step == "save":
+        print(pipeline_of(steps[:-1]).save_as_plugin(steps[-1].name, folder, steps[-1].desc))
+        return 0
     if steps[0].step == "plugins":
         print("\n".join(f"{p.name:<20} {p.desc} {p.args}".rstrip() for p in PLUGINS.values()))
         return 0
@@ -137,7 +153,12 @@ def main(argv: list[str] | None = None) -> int:
     starts = first.step in ("run", "sql", "join") or (first.step == "load" and first.source)
     df = None if starts else read_lines(spark, sys.stdin.read().splitlines())
     out = pipeline_of(steps).build(spark, df)
-    if steps[-1].step != "store":
+    last = steps[-1]
+    if last.step == "view":
+        print(render(out, last.n))
+    elif arrow:
+        print_arrow(out)
+    elif last.step != "store" or not last.path:
         print_csv(out)
     return 0
 

@@ -7,7 +7,7 @@ import os
 import shutil
 import sys
 import uuid
-from typing import TextIO
+from typing import BinaryIO, TextIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,7 +35,25 @@ def write_arrow(df: DataFrame, path: str) -> None:
         out.write_table(table)
 
 
-def store(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite", single_file: bool = False, codec: str = "snappy", partition_by: list[str] | None = None, root: str = "root", record: str = "record") -> None:
+def print_arrow(df: DataFrame, out: BinaryIO | None = None) -> None:
+    """An Arrow IPC stream on standard output."""
+    table = df.toArrow()
+    with pa.ipc.new_stream(out or sys.stdout.buffer, table.schema) as stream:
+        stream.write_table(table)
+
+
+def store(
+    df: DataFrame,
+    path: str,
+    fmt: str | None = None,
+    mode: str = "overwrite",
+    single_file: bool = False,
+    codec: str = "snappy",
+    row_group_bytes: int | None = None,
+    partition_by: list[str] | None = None,
+    root: str = "root",
+    record: str = "record",
+) -> None:
     """Writes ``df`` in the format of the path's ending (or ``fmt``).
 
     csv, tsv, jsonl, xml and parquet are written by the executors, a file a partition, into a folder
@@ -59,6 +77,8 @@ def store(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwri
     elif fmt == "xml":
         out.option("rootTag", root).option("rowTag", record).option("attributePrefix", "@").xml(target)
     elif fmt == "parquet":
+        if row_group_bytes:
+            out = out.option("parquet.block.size", str(row_group_bytes))
         out.option("compression", codec).parquet(target)
     else:
         raise ValueError(f"unknown format {fmt!r}")

@@ -88,6 +88,13 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert (tmp_path / "o.jsonl").read_text().count("\n") == 3
     main(["load", str(src), "--schema-preview"])
     assert "amount: bigint" in capsys.readouterr().out
+    monkeypatch.setenv("MILLRACE_PLUGINS", str(tmp_path / "kept"))
+    main(["filter", "amount > 5", "then", "save", "large", "--desc", "large ones"])
+    assert capsys.readouterr().out.strip().endswith("large.json")
+    main(["load", str(src), "then", "run", "large", "then", "view", "-n", "1"])
+    assert capsys.readouterr().out == "region | amount\n-------+-------\nwest   | 10\n"
+    main(["load", str(src), "then", "store"])
+    assert capsys.readouterr().out.startswith("region,amount\n")
     main(["plugins"])
     assert "inventory" in capsys.readouterr().out
     steps = parse(["join", "a.csv", "b.csv", "--on", "k", "then", "pivot", "--index", "a", "--column", "b", "--values", "c", "then", "unpivot", "--values", "x,y", "then", "head", "-n", "3", "then", "nulls"])
