@@ -128,11 +128,11 @@ def words_beyond_ascii(text: str) -> list[list[str]]:
     """For each line of ``text`` that has any, its words with characters beyond ASCII."""
     if text.isascii():
         return []
-    out = []
-    for line in text.split("\n"):
-        if not line.isascii():
-            out.append([w for w in line.replace("\r", " ").replace("\t", " ").split(" ") if not w.isascii()])
-    return out
+    if "\r" in text:
+        text = text.replace("\r", " ")
+    if "\t" in text:
+        text = text.replace("\t", " ")
+    return [[w for w in line.split(" ") if not w.isascii()] for line in text.split("\n") if not line.isascii()]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -374,20 +374,27 @@ class Scorer:
         self.model, self.losses = model, _Losses(model)
         self.prior = prior if prior is not None else np.zeros(len(CHAINS), np.float32)
         self.known: dict[str, tuple[float, np.ndarray]] = {}
+        #: Of these the words that some chain makes likelier, and that make a line unfit for the second model.
+        self.suspect: set[str] = set()
+        self.bad: set[str] = set()
 
     def prepare(self, words: Iterable[str]) -> None:
         """Scores the words that aren't known; at most _CACHE words are kept, or those just asked for."""
         wanted = set(words)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > _CACHE:
-            self.known.clear()
+            self.known, self.suspect, self.bad = {}, set(), set()
             new = list(wanted)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
             table = gains(self.model, part)
             _with_losses(self.model, self.losses, part, table)
-            for word, row in zip(part, table, strict=True):
-                self.known[word] = (float(row.max()), row)
+            for word, best, row in zip(part, table.max(axis=1).tolist(), table, strict=True):
+                self.known[word] = (best, row)
+                if best > 0:
+                    self.suspect.add(word)
+                    if best > LINE_CUT:
+                        self.bad.add(word)
 
     def over_lines(self, documents: list[list[list[str]]], judge: Callable[[list[str]], object]) -> list[list]:
         """``judge`` of each line of each document, in portions of lines whose words fit into memory, however long a document is."""
@@ -410,9 +417,13 @@ class Scorer:
         settle()
         return out
 
+    def sound(self, words: list[str]) -> bool:
+        """Whether no word of a line looks garbled."""
+        return self.bad.isdisjoint(words)
+
     def line(self, words: list[str]) -> tuple[float, int]:
         """The best chain's summed gain along a line, with its prior, and the chain."""
-        if all(self.known[w][0] <= 0 for w in words):
+        if self.suspect.isdisjoint(words):
             return -1.0, -1
         total = self.prior.copy()
         for w in words:
@@ -438,19 +449,15 @@ def _scorer(shared) -> Scorer:
     return _SCORERS[id(value)][1]
 
 
-def _count_words(texts: DataFrame, shared=None, by_line: bool = False) -> DataFrame:
-    """``word, n``: words beyond ASCII; with a model, those of lines that look clean under it."""
+def _count_words(texts: DataFrame, shared=None) -> DataFrame:
+    """``word, n``: words beyond ASCII; with a model, those of lines without a word that looks garbled under it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared) if shared is not None else None
         counts: dict[str, int] = {}
-
-        def clean(words: list[str]) -> bool:
-            return scorer.line(words)[0] <= 1.0 if by_line else all(scorer.known[w][0] <= LINE_CUT for w in words)
-
         for batch in batches:
             documents = [words_beyond_ascii(t) for t in batch.column(0).to_pylist() if t]
-            kept = scorer.over_lines(documents, clean) if scorer is not None else None
+            kept = scorer.over_lines(documents, scorer.sound) if scorer is not None else None
             for i, lines in enumerate(documents):
                 for j, words in enumerate(lines):
                     if kept is None or kept[i][j]:
@@ -556,36 +563,36 @@ def train(documents: DataFrame, text: str) -> tuple[Model, np.ndarray]:
     """The model of the table's clean records and the chains' priors.
 
     Words are counted over all texts.  A first model leaves out words that are surely garbled, a
-    second is trained on lines without a suspicious word, a third on lines that are clean under the
-    second; a tenth of its words is then held out once to choose the margin.
+    second is trained on lines without a suspicious word, a third on those lines' words that are
+    clean under the second; a tenth of its words is then held out once to choose the margin.
     """
     spark = documents.sparkSession
     sc = spark.sparkContext
     texts = documents.select(F.col(text)).where(F.col(text).isNotNull())
     words = _count_words(texts).persist(StorageLevel.MEMORY_AND_DISK)
+    zero = np.zeros(len(CHAINS), np.float32)
+    first = sc.broadcast((_train(words), zero))
+    second = sc.broadcast((_train(_without(words, first, WORD_CUT)), zero))
+    lines = _count_words(texts, second).persist(StorageLevel.MEMORY_AND_DISK)
+    clean = _train(lines)
+    third = sc.broadcast((clean, _prior(words, sc.broadcast((clean, zero)))))
+    kept = _without(lines, third, 0.0)  # no chain, with its prior, makes these likelier.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        zero = np.zeros(len(CHAINS), np.float32)
-        first = sc.broadcast((_train(words), zero))
-        second = sc.broadcast((_train(_without(words, first, WORD_CUT)), zero))
-        clean = _train(_count_words(texts, second))
-        rough = sc.broadcast((clean, zero))
-        third = sc.broadcast((clean, _prior(words, rough)))
-        kept = _count_words(texts, third, by_line=True).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            model = _train(kept)
-            prior = _prior(words, sc.broadcast((model, zero)))
-            total, sound = (x.agg(F.sum("n")).first()[0] or 0 for x in (words, kept))
-            held = F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0
-            trial = sc.broadcast((_train(kept.where(~held)), prior))
-            model.margin = _margin(kept.where(held), trial, max(1e-4, 1 - sound / total) if total else 0.01)
-        finally:
-            kept.unpersist()
+        model = _train(kept)
+        prior = _prior(words, sc.broadcast((model, zero)))
+        total, sound = (x.agg(F.sum("n")).first()[0] or 0 for x in (words, kept))
+        held = F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0
+        trial = sc.broadcast((_train(kept.where(~held)), prior))
+        model.margin = _margin(kept.where(held), trial, max(1e-4, 1 - sound / total) if total else 0.01)
     finally:
-        words.unpersist()
+        for x in (kept, lines, words):
+            x.unpersist()
     return model, prior
 
 
 def _without(words: DataFrame, shared, cut: float) -> DataFrame:
+    """The words whose best chain's gain, with its prior, is at most ``cut``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         for batch in batches:
@@ -593,7 +600,7 @@ def _without(words: DataFrame, shared, cut: float) -> DataFrame:
             keep = []
             for lo in range(0, len(names), 4096):
                 scorer.prepare(names[lo : lo + 4096])
-                keep += [scorer.known[w][0] <= cut for w in names[lo : lo + 4096]]
+                keep += [scorer.line([w])[0] <= cut for w in names[lo : lo + 4096]]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return words.select("word", "n").mapInArrow(run, "word string, n bigint")
