@@ -18,6 +18,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 #: A digest has at most COMPRESSION / 2 + 2 clusters.
 COMPRESSION = 400
 #: Merging of more partial digests than this a group goes in two steps.
@@ -162,7 +164,8 @@ def certify(df: DataFrame, keys: Sequence[str], value: str, estimates: DataFrame
     usable = F.col(value).cast("double")
     finite = df.where(usable.isNotNull() & ~F.isnan(usable) & (F.abs(usable) != float("inf")))
     rows = finite.select(*[F.col(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)], usable.alias("v"))
-    points = estimates.select(*[F.col(k).alias(f"e{i}") for i, k in enumerate(keys)], "estimates")
+    # a row a group, used for its size and for the join: made once
+    points = cut_lineage(estimates.select(*[F.col(k).alias(f"e{i}") for i, k in enumerate(keys)], "estimates"))
     cond = F.lit(True)
     for i in range(len(keys)):
         cond = cond & F.col(f"k{i}").eqNullSafe(F.col(f"e{i}"))
