@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_key
 from millrace.llm import digests, mixing, mojibake, packing, tokens
+from millrace.session import cut_lineage
 
 #: Tokens a container holds.
 CAPACITY = 8192
@@ -27,14 +28,21 @@ def _monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.digest(_amounts(spark, sf_dir), ["region", "month"], "amount")
 
 
+def _certified(amounts: DataFrame, digest: DataFrame, keys: list[str]) -> DataFrame:
+    return digests.certify(amounts, keys, "amount", digests.quantiles(digest, keys, PERCENTILES), PERCENTILES)
+
+
 def p6_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    combined = digests.combine(_monthly(spark, sf_dir), ["region"])
-    estimates = digests.quantiles(combined, ["region"], PERCENTILES)
-    return digests.certify(_amounts(spark, sf_dir), ["region"], "amount", estimates, PERCENTILES)
+    """Certified percentiles of each region and month, and, with a null month, of each region over all months."""
+    amounts = _amounts(spark, sf_dir)
+    monthly = cut_lineage(_monthly(spark, sf_dir))  # what is kept of the months: a digest a region and month
+    whole = _certified(amounts, digests.combine(monthly, ["region"]), ["region"]).withColumn("month", F.lit(None).cast("string"))
+    return _certified(amounts, monthly, ["region", "month"]).unionByName(whole)
 
 
 def p6_certified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p6_percentiles(spark, sf_dir).select("region", "percentile", "n", "within_bound")
+    combined = digests.combine(_monthly(spark, sf_dir), ["region"])
+    return _certified(_amounts(spark, sf_dir), combined, ["region"]).select("region", "percentile", "n", "within_bound")
 
 
 def p6_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
