@@ -144,8 +144,12 @@ def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _grams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``_grams_of`` each character from the third on and the two before it."""
+    return _grams_of(codes[:-2], codes[1:-1], codes[2:])
+
+
+def _grams_of(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions in the bigram table of (a, b) and (b, c), and in the trigram table of (a, b, c), for each c."""
-    a, b, c = codes[:-2], codes[1:-1], codes[2:]
     ab = (a * 1_000_003 + b) * 2_654_435_761
     bc = (b * 1_000_003 + c) * 2_654_435_761
     abc = ((a * 1_000_003 + b) * 1_000_003 + c) * 2_654_435_761
@@ -163,9 +167,13 @@ class Model:
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """For each character from the third on, its log probability after the two before it."""
-        ab, bc, abc = _grams(codes)
-        base = (self.uni[codes[2:]] + 0.02) / (self.uni.sum() + 0.02 * UNI)
-        two = (self.bi[bc] + _K * base) / (self.uni[codes[1:-1]] + _K)
+        return self.log_next(codes[:-2], codes[1:-1], codes[2:])
+
+    def log_next(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The log probability of each c after a and b."""
+        ab, bc, abc = _grams_of(a, b, c)
+        base = (self.uni[c] + 0.02) / (self.uni.sum() + 0.02 * UNI)
+        two = (self.bi[bc] + _K * base) / (self.uni[b] + _K)
         return np.log((self.tri[abc] + _K * two) / (self.bi[ab] + _K))
 
     def scores(self, words: list[str]) -> np.ndarray:
@@ -299,72 +307,196 @@ LOSSY: tuple[tuple[str, ...], ...] = (
 )
 _LOST_CHAINS = [(*c, "with losses") for c in LOSSY]
 CHAINS += _LOST_CHAINS
-_BEAM = 6
+#: States of a search kept at once (a few bytes each), and steps between states computed at once.
+_STATES, _STEPS = 1 << 20, 1 << 18
+_END = (3, 1)
+
+
+def _likeliest(model: Model, characters: np.ndarray, paths: list[tuple[tuple[int, int], ...]]) -> list[np.ndarray]:
+    """For each path of sets the likeliest choice of a character from each set.
+
+    A set is a place in ``characters`` and a size.  A Viterbi search whose states are the last two
+    characters is exact under the trigram model; all paths of a portion take their steps together.
+    """
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(paths)
+    part: list[int] = []
+    size = 0
+    # longest first, so that the paths that still go on come first at every step
+    for i in sorted(range(len(paths)), key=lambda i: -len(paths[i])):
+        weight = len(paths[part[0] if part else i]) + sum(x[1] * y[1] for x, y in zip(paths[i], paths[i][1:]))
+        if part and size + weight > _STATES:
+            _search(model, characters, paths, part, out)
+            part, size = [], 0
+        part.append(i)
+        size += weight
+    if part:
+        _search(model, characters, paths, part, out)
+    return out
+
+
+def _search(model: Model, characters: np.ndarray, paths: list[tuple[tuple[int, int], ...]], part: list[int], out: list[np.ndarray]) -> None:
+    # two end marks, the second without a score: each path ends in one state
+    length = np.array([len(paths[i]) + 2 for i in part])
+    place, many = np.zeros((len(part), length[0]), np.int64), np.ones((len(part), length[0]), np.int64)
+    for row, i in enumerate(part):
+        place[row, : length[row]], many[row, : length[row]] = np.array([*paths[i], _END, _END]).T
+    going = [int((length > t).sum()) for t in range(length[0])]
+    one = np.ones(len(part), np.int64)
+    a = b = np.full(len(part), 2, np.int64)
+    score = np.zeros(len(part))
+    back = []
+    for t, n in enumerate(going):
+        n_a, n_b, n_c = (many[:n, t - k] if t >= k else one[:n] for k in (2, 1, 0))
+        # states lie by path, then second character, then first; the new ones in the same order
+        path = np.repeat(np.arange(n), n_b * n_c)
+        ends = np.cumsum(n_b * n_c)
+        within = np.arange(len(path)) - (ends - n_b * n_c)[path]
+        c = characters[place[path, t] + within // n_b[path]]
+        origin = (np.cumsum(n_a * n_b) - n_a * n_b)[path] + within % n_b[path] * n_a[path]
+        fan = n_a[path]
+        middle, scored = b[origin], t < length[path] - 1
+        parent, best = np.zeros(len(path), np.int64), np.zeros(len(path))
+        steps = np.cumsum(fan)
+        lo = 0
+        while lo < len(path):
+            hi = max(lo + 1, int(np.searchsorted(steps, (steps[lo - 1] if lo else 0) + _STEPS, "right")))
+            f = fan[lo:hi]
+            begins = np.cumsum(f) - f
+            at = np.repeat(origin[lo:hi] - begins, f) + np.arange(int(f.sum()))
+            to = np.repeat(np.arange(lo, hi), f)
+            v = score[at] + np.where(scored[to], model.log_next(a[at], middle[to], c[to]), 0.0)
+            best[lo:hi] = np.maximum.reduceat(v, begins)
+            parent[lo:hi] = np.minimum.reduceat(np.where(v >= best[to], at, len(score)), begins)
+            lo = hi
+        a, b, score = middle, c, best
+        back.append((parent.astype(np.int32), c.astype(np.uint16), ends))
+    chosen = np.zeros((len(part), length[0]), np.int64)
+    at = np.zeros(0, np.int64)
+    for t in range(len(back) - 1, -1, -1):
+        parent, c, ends = back[t]
+        at = np.append(at, ends[len(at) :] - 1)
+        chosen[: len(at), t] = c[at]
+        at = parent[at]
+    for row, i in enumerate(part):
+        out[i] = chosen[row, : length[row] - 2]
 
 
 class _Losses:
     """For each encoding, what may be left of each known character when its UTF-8 bytes are read in it and controls are dropped."""
 
     def __init__(self, model: Model):
-        self.options: list[dict[str, list[str]]] = []
-        known = [c for c in np.flatnonzero(model.uni > 0) if c >= 128 and not 0xD800 <= c < 0xE000]
+        self.model = model
+        #: For each encoding, what is left -> the set of all characters that it may be left of.
+        self.options: list[dict[str, tuple[int, int]]] = []
+        #: The parts of a set within each alphabet.
+        self.within: dict[tuple[int, int], dict[int, tuple[int, int]]] = {}
+        known = [int(c) for c in np.flatnonzero(model.uni > 0) if c >= 128 and not 0xD800 <= c < 0xE000]
         known.sort(key=lambda c: -model.uni[c])
+        # the first characters stand for themselves
+        flat = list(range(UNI))
+        sets: dict[tuple[int, ...], tuple[int, int]] = {}
+
+        def kept(some: tuple[int, ...]) -> tuple[int, int]:
+            if some not in sets:
+                sets[some] = (len(flat), len(some))
+                flat.extend(some)
+            return sets[some]
+
         for read in LOSSY:
-            table: dict[str, list[str]] = {}
+            table: dict[str, list[int]] = {}
             for c in known:
                 whole = garble(chr(c), read)
                 left = "".join(ch for ch in whole if not 0x80 <= ord(ch) < 0xA0)
-                if left and len(table.setdefault(left, [])) < _BEAM:
-                    table[left].append(chr(c))
-            for left in list(table):
                 # what is left unchanged of a character tells nothing
-                table[left] = [x for x in table[left] if x != left]
-            self.options.append({k: v for k, v in table.items() if v})
+                if left and left != chr(c):
+                    table.setdefault(left, []).append(c)
+            self.options.append({left: kept(tuple(some)) for left, some in table.items()})
+            for some in table.values():
+                self.within[kept(tuple(some))] = {s: kept(tuple(c for c in some if _scripts()[c] & 7 in (0, s))) for s in (1, 2, 4)}
+        self.characters = np.array(flat, np.int64)
         self.firsts = [{k[0] for k in t} for t in self.options]
         self.longest = [max(map(len, t), default=0) for t in self.options]
 
-    def candidates(self, word: str, i: int) -> list[str]:
-        """Some likely originals of a word with losses: the longest remainders first, a few originals for each."""
+    def sets(self, word: str, i: int) -> tuple[list[str], tuple[tuple[int, int], ...]] | None:
+        """The word's pieces, each with the set of its originals; None where the word can't have come about so.
+
+        The longest remainder counts, as no character begins with what others go on with.
+        """
         table, firsts = self.options[i], self.firsts[i]
         if firsts.isdisjoint(word):
-            return []
-        out, at, lost = [""], 0, False
+            return None
+        pieces, out, at, lost = [], [], 0, False
         while at < len(word):
-            if word[at] not in firsts:
-                out = [o + word[at] for o in out]
-                at += 1
+            size = 1
+            found: tuple[int, int] | None = (min(ord(word[at]), UNI - 1), 1)
+            if word[at] in firsts:
+                for size in range(min(self.longest[i], len(word) - at), 0, -1):
+                    found = table.get(word[at : at + size])
+                    if found:
+                        lost = True
+                        break
+                else:
+                    return None
+            pieces.append(word[at : at + size])
+            out.append(found)
+            at += size
+        return (pieces, tuple(out)) if lost else None
+
+    def _one_alphabet(self, path: tuple[tuple[int, int], ...], script: int) -> tuple[tuple[int, int], ...] | None:
+        out = []
+        for s in path:
+            if s[0] >= UNI:
+                s = self.within[s][script]
+            elif _scripts()[s[0]] & 7 not in (0, script):
+                return None
+            if not s[1]:
+                return None
+            out.append(s)
+        return tuple(out)
+
+    def originals(self, tasks: list[tuple[str, int]]) -> list[tuple[str, float] | None]:
+        """For each word and encoding the likeliest original of all, and its log probability less that of mixed alphabets."""
+        split = [self.sets(word, i) for word, i in tasks]
+        paths = list(dict.fromkeys(s[1] for s in split if s is not None))
+        best: dict[tuple[tuple[int, int], ...], tuple[np.ndarray, float]] = {}
+        for path, chosen, score, mixed in self._judged(paths, paths):
+            best[path] = (chosen, score)
+            if mixed:
+                # the likeliest in one alphabet may be better than the likeliest of all
+                some = [p for s in (1, 2, 4) if (p := self._one_alphabet(path, s)) is not None]
+                for _, other, score, _ in self._judged([path] * len(some), some):
+                    if score > best[path][1]:
+                        best[path] = (other, score)
+        out: list[tuple[str, float] | None] = []
+        for s in split:
+            if s is None:
+                out.append(None)
                 continue
-            for size in range(min(self.longest[i], len(word) - at), 0, -1):
-                found = table.get(word[at : at + size])
-                if found:
-                    out = [o + f for o in out for f in found][: _BEAM * _BEAM]
-                    lost = True
-                    at += size
-                    break
-            else:
-                return []
-        return out if lost else []
+            chosen, score = best[s[1]]
+            out.append(("".join([chr(c) if o[0] >= UNI else piece for piece, o, c in zip(s[0], s[1], chosen.tolist(), strict=True)]), score))
+        return out
+
+    def _judged(self, names: list, paths: list) -> list[tuple]:
+        if not paths:
+            return []
+        found = _likeliest(self.model, self.characters, paths)
+        codes, starts = _codes(["".join(map(chr, x.tolist())) for x in found])
+        mixed = _mixed(codes, starts)
+        scores = _sums(self.model.log_p(codes), codes, starts) - mixed
+        return list(zip(names, found, scores.tolist(), (mixed > 0).tolist(), strict=True))
 
 
 def _with_losses(model: Model, losses: _Losses, words: list[str], out: np.ndarray) -> None:
     """Fills the columns of the chains with losses."""
     first = len(CHAINS) - len(_LOST_CHAINS)
-    tried, where = [], []
-    for i, word in enumerate(words):
-        if word.isascii():
-            continue
-        for k in range(len(LOSSY)):
-            for c in losses.candidates(word, k):
-                tried.append(c)
-                where.append((i, first + k))
-    if not tried:
+    where = [(i, k) for i, word in enumerate(words) if not word.isascii() for k in range(len(LOSSY)) if not losses.firsts[k].isdisjoint(word)]
+    if not where:
         return
-    codes, starts = _codes(tried)
-    total = _sums(model.log_p(codes), codes, starts) - _mixed(codes, starts)
     codes, starts = _codes(words)
     own = _sums(model.log_p(codes), codes, starts) - _mixed(codes, starts)
-    for (i, j), t in zip(where, total, strict=True):
-        out[i, j] = max(out[i, j], t - own[i])
+    for (i, k), found in zip(where, losses.originals([(words[i], k) for i, k in where]), strict=True):
+        if found is not None:
+            out[i, first + k] = max(out[i, first + k], found[1] - own[i])
 
 
 class Scorer:
@@ -608,12 +740,12 @@ def _without(words: DataFrame, shared, cut: float) -> DataFrame:
 
 def _restore_word(scorer: Scorer, word: str, chain: tuple[str, ...]) -> tuple[str, bool]:
     if chain[-1] == "with losses":
-        options = scorer.losses.candidates(word, _LOST_CHAINS.index(chain))
-        if not options:
+        found = scorer.losses.originals([(word, _LOST_CHAINS.index(chain))])[0]
+        if found is None:
             return word, True
-        scores = scorer.model.scores(options)
-        best = options[int(scores.argmax())]
-        return (best, False) if scores.max() > scorer.model.scores([word])[0] else (word, True)
+        codes, starts = _codes([word])
+        own = scorer.model.scores([word])[0] - _mixed(codes, starts)[0]
+        return (found[0], False) if found[1] > own else (word, True)
     fixed = apply_chain(word, chain)
     if fixed is not None:
         return fixed, True

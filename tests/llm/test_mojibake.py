@@ -1,5 +1,8 @@
 import random
+from itertools import product
+from math import prod
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +67,43 @@ def test_words_and_scripts():
     assert M.words_beyond_ascii("a\nb é c\tдом\r\nx") == [["é", "дом"]] and M.words_beyond_ascii("abc") == []
     codes, starts = M._codes(["да", "дa", "é"])
     assert list(M._mixed(codes, starts) > 0) == [False, True, False]
+
+
+def _model(lines):
+    codes, _ = M._codes(words := [w for line in lines for w in line.split(" ")])
+    model = M.Model()
+    _, bc, abc = M._grams(codes)
+    real = codes[2:] != 2
+    np.add.at(model.uni, codes, 1)
+    np.add.at(model.bi, bc[real], 1)
+    np.add.at(model.tri, abc[real], 1)
+    return model, words
+
+
+@pytest.mark.parametrize("chain", [("latin_1", "utf_8"), ("latin_1", "utf_8", "latin_1", "utf_8")])
+def test_words_with_many_lost_letters_get_their_likeliest_original(chain):
+    model, words = _model([x for lang in ("fr", "ru", "el") for x in LINES[lang]])
+    scorer = M.Scorer(model)
+
+    def left(text):
+        return "".join(c for c in M.garble(text, chain) if not 0x80 <= ord(c) < 0xA0)
+
+    known = {}
+    for c in {c for w in words for c in w}:
+        known.setdefault(left(c), set()).add(c)
+    lost = checked = right = 0
+    for word in dict.fromkeys(w for w in words if not w.isascii()):
+        got, _ = M._restore_word(scorer, left(word), (*chain, "with losses"))
+        options = [sorted(known[left(c)]) for c in word]
+        right += got == word
+        # never less likely than what was really written, however many letters were lost
+        assert left(got) == left(word) and scorer.model.scores([got])[0] >= scorer.model.scores([word])[0] - 1e-3
+        lost += sum(len(o) > 1 for o in options) > 2
+        if prod(map(len, options)) <= 20_000:
+            every = ["".join(x) for x in product(*options)]
+            codes, starts = M._codes(every)
+            best = (scorer.model.scores(every) - M._mixed(codes, starts)).max()
+            codes, starts = M._codes([got])
+            assert abs(scorer.model.scores([got])[0] - M._mixed(codes, starts)[0] - best) < 1e-3
+            checked += 1
+    assert lost >= 10 and checked >= 10 and right > lost
