@@ -1,7 +1,7 @@
 """Feeds of delimited files whose columns drift: one consistent table, and a report of every change.
 
 Each file's schema is a small tree.  Its columns are tied to the fields of the consistent table by
-the cheapest edit script between the two trees, the script is compiled into the projection that
+the cheapest edit script between the two trees (names outside the list by what their cells are like), the script is compiled into the projection that
 reads the file, and the script between a file's tree and that of the preceding file of its feed is
 the report.
 """
@@ -9,6 +9,8 @@ the report.
 from __future__ import annotations
 
 import csv
+import json
+import math
 import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
@@ -32,6 +34,8 @@ FIELDS: dict[str, tuple[str, ...]] = {
 }
 #: Files of a feed are folded in blocks of so many numbers, so that no feed, however long, meets in one task.
 BLOCK = 4096
+#: Cost of taking a column of an unlisted name for a field whose cells are all alike; it rises to 1 (no tie) where half of them are.
+TIE = 0.3
 
 _TYPES = ("long", "double", "date")
 _LONG = re.compile(r"[+-]?[0-9]+")
@@ -102,15 +106,114 @@ def column_types(files: DataFrame, lines: DataFrame) -> DataFrame:
     return typed.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("types"))
 
 
+_MONEY = re.compile(r"(?:[A-Z]{3} ?)?([+-]?[0-9][0-9,]*\.?[0-9]*|[+-]?\.[0-9]+)(?: ?[A-Z]{3})?")
+_DAY = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|(?:19|20)[0-9]{2}[01][0-9][0-3][0-9]")
+
+
+def _sign(cell: str) -> str:
+    """What a cell tells of its column: that it is a date, a number's size to half a power of ten, or its text."""
+    cell = cell.strip()
+    if _DAY.fullmatch(cell):
+        return "D"
+    number = _MONEY.fullmatch(cell)
+    if number is None:
+        return "T" + " ".join(cell.lower().split())
+    digits = number[1]
+    digits = digits.replace(",", ".") if re.fullmatch(r"[+-]?[0-9]+,[0-9]{1,2}", digits) else digits.replace(",", "")
+    value = float(digits)
+    return f"N{'-' if value < 0 else ''}{math.floor(2 * math.log10(min(abs(value), 1e300) + 1))}"
+
+
+def _feed_key() -> Column:
+    return F.when(F.col("feed").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("feed").cast("string"))).alias("_feed")
+
+
+def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """``_feed, ties``: for each feed, what it costs to take columns of unlisted names for fields, as JSON of [name, field, cost].
+
+    A column is likened by its cells over all files of its feed to the columns that hold a field
+    under a known name: the share of its cells that are dates, numbers of the same size, or texts
+    that the field has too.  One that stands beside the field in a file of its feed is something
+    else; standing beside it in other feeds counts against it by the share of such files.
+    """
+    fields = [f for f, _ in known]
+    head = files.select("file_id", _feed_key(), "delim", "header_line")
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for feed, delim, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                names = tuple(header_names(header, delim))
+                bound = _bind(names, "", known)
+                rows += [(feed, n, f, int(f in bound)) for n, b in zip(names, bound, strict=True) if b is None and n for f in fields]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["_feed", "name", "field", "beside"])
+
+    pairs = head.select("_feed", "delim", "header_line").mapInArrow(beside, "_feed string, name string, field string, beside bigint")
+    pairs = cut_lineage(pairs.groupBy("_feed", "name", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("beside").alias("beside")))
+    elsewhere = pairs.groupBy("name", "field").agg((F.sum("beside") / F.sum("n")).alias("against"))
+    open_ = pairs.where("beside = 0").join(elsewhere, ["name", "field"]).select("_feed", "name", "field", "against")
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            keys = list(counts)
+            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["_feed", "name", "field", "sign", "n"])
+
+        counts: dict[tuple, int] = {}
+        for batch in batches:
+            for feed, delim, header, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                owners = _owners(feed, header, delim, known)
+                for owner, cell in zip(owners, split_line(line, delim or ",")):
+                    if cell:
+                        key = (*owner, _sign(cell))
+                        counts[key] = counts.get(key, 0) + 1
+            if len(counts) > 200_000:
+                yield out()
+                counts = {}
+        yield out()
+
+    told = lines.select("file_id", "line_text").join(head, "file_id").select("_feed", "delim", "header_line", "line_text")
+    told = told.mapInArrow(signs, "_feed string, name string, field string, sign string, n bigint")
+    told = cut_lineage(told.groupBy("_feed", "name", "field", "sign").agg(F.sum("n").alias("n")))
+    of_field = told.where("field is not null").select("field", "sign", F.col("n").alias("n_f"))
+    of_field = of_field.join(of_field.groupBy("field").agg(F.sum("n_f").alias("all_f")), "field").select("field", "sign", (F.col("n_f") / F.col("all_f")).alias("p_f"))
+    of_name = told.where("field is null").select("_feed", "name", "sign", "n")
+    of_name = of_name.join(of_name.groupBy("_feed", "name").agg(F.sum("n").alias("all_n")), ["_feed", "name"]).select("_feed", "name", "sign", (F.col("n") / F.col("all_n")).alias("p"))
+    shared = F.when(F.col("sign").startswith("T"), F.col("p")).otherwise(F.least("p", "p_f"))
+    alike = open_.join(of_name, ["_feed", "name"]).join(of_field, ["field", "sign"]).groupBy("_feed", "name", "field", "against").agg(F.sum(shared).alias("alike"))
+    cost = F.round(F.lit(TIE) + (1.0 - TIE) * 2.0 * (1.0 - F.col("alike")) + F.col("against"), 6)
+    near = alike.withColumn("cost", cost).where("cost < 1.0")
+    return near.groupBy("_feed").agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "field", "cost")))).alias("ties"))
+
+
+@lru_cache(maxsize=20_000)
+def _owners(feed: str, header: str | None, delim: str | None, known: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[tuple, ...]:
+    """For each column its feed and name, or the field that it holds under a known name."""
+    names = tuple(header_names(header, delim))
+    return tuple((feed, n, None) if b is None else (None, None, b) for n, b in zip(names, _bind(names, "", known), strict=True))
+
+
+def _tied(files: DataFrame, lines: DataFrame, known) -> DataFrame:
+    """``files`` with ``ties`` of their feeds, empty where there are none."""
+    found = column_ties(files, lines, known)
+    return files.withColumn("_feed", _feed_key()).join(found, "_feed", "left").drop("_feed").withColumn("ties", F.coalesce("ties", F.lit("")))
+
+
+@lru_cache(maxsize=1000)
+def _ties(text: str) -> dict[tuple[str, str], float]:
+    return {(t["name"], t["field"]): t["cost"] for t in json.loads(text)} if text else {}
+
+
 @lru_cache(maxsize=50_000)
-def _bind(names: tuple[str, ...], kinds: tuple[str | None, ...], known: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str | None, ...]:
-    """For each column, the known field that it holds (None: a column of its own).
+def _bind(names: tuple[str, ...], ties: str, known: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str | None, ...]:
+    """For each column, the field that it holds (None: a column of its own).
 
     The cheapest pairing of the file's columns with the table's fields: free under a known name,
-    dearer the less a name resembles one; a column that resembles none stays its own.
+    dearer the less a name resembles one; under another name by what ``column_ties`` says of it.
     """
     fields = [f for f, _ in known]
     n, m = len(names), len(fields)
+    costs = _ties(ties)
     matrix = []
     for i in range(n + m):
         if i >= n:
@@ -125,7 +228,7 @@ def _bind(names: tuple[str, ...], kinds: tuple[str | None, ...], known: tuple[tu
             else:
                 plain = re.sub(r"[^a-z]", "", names[i])
                 near = any(plain == re.sub(r"[^a-z]", "", a) for a in aliases)
-                row.append(0.5 if near and plain else 5.0)
+                row.append(0.5 if near and plain else costs.get((names[i], f), 5.0))
         matrix.append(row + [1.0] * n)
     chosen = assign(matrix) if matrix else []
     return tuple(fields[chosen[i]] if chosen[i] < m and matrix[i][chosen[i]] < 1.0 else None for i in range(n))
@@ -136,11 +239,11 @@ def _tree(columns: Mapping[str, tuple[str, str | None]], known: set[str]) -> Nod
     return Node("", "struct", tuple(Node(name, kind or "unknown", (), field if field in known else "=" + field) for field, (name, kind) in columns.items()))
 
 
-def _columns(header: str | None, delim: str | None, types: Mapping[int, str] | None, known) -> dict[str, tuple[str, str | None]]:
+def _columns(header: str | None, delim: str | None, types: Mapping[int, str] | None, ties: str, known) -> dict[str, tuple[str, str | None]]:
     names = tuple(header_names(header, delim))
     kinds = tuple((types or {}).get(i) for i in range(len(names)))
     out: dict[str, tuple[str, str | None]] = {}
-    for name, kind, field in zip(names, kinds, _bind(names, kinds, known), strict=True):
+    for name, kind, field in zip(names, kinds, _bind(names, ties, known), strict=True):
         out.setdefault(field or name, (name, kind))  # of equally named columns the first counts
     return out
 
@@ -154,7 +257,7 @@ def _fold(known, with_changes: bool):
         for r in pdf.sort_values(["seq_no", "file_id"], kind="stable").itertuples():
             types = {int(k): v for k, v in (r.types.items() if isinstance(r.types, dict) else list(r.types) if r.types is not None else ())}
             now = {}
-            for f, (name, kind) in _columns(r.header_line, r.delim, types, known).items():
+            for f, (name, kind) in _columns(r.header_line, r.delim, types, r.ties, known).items():
                 kind = kind or last.get(f)
                 if kind:
                     last[f] = kind
@@ -187,7 +290,7 @@ def drift_report(files: DataFrame, lines: DataFrame, fields: Mapping[str, tuple[
     numbers are taken in the order of file_id; a null feed is a feed, a null number comes first.
     """
     known = _known(fields)
-    meta = files.select("file_id", "feed", F.coalesce("seq_no", F.lit(-1)).cast("long").alias("seq_no"), "delim", "header_line")
+    meta = _tied(files, lines, known).select("file_id", "feed", F.coalesce("seq_no", F.lit(-1)).cast("long").alias("seq_no"), "delim", "header_line", "ties")
     every = meta.join(column_types(files, lines), "file_id", "left").withColumn("blk", F.floor(F.col("seq_no") / block))
     every = every.withColumn("types", F.map_entries("types"))
     every = every.withColumn("types", F.transform("types", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
@@ -239,20 +342,20 @@ def _project(known, extra: bool):
     fields = [f for f, _ in known]
 
     @lru_cache(maxsize=20_000)
-    def plan(header: str | None, delim: str | None) -> tuple[tuple[int, ...], tuple[tuple[str, int], ...]]:
+    def plan(header: str | None, delim: str | None, ties: str) -> tuple[tuple[int, ...], tuple[tuple[str, int], ...]]:
         """The compiled script of a header: where each field is found (-1: nowhere), and the other columns."""
         names = tuple(header_names(header, delim))
-        bound = _bind(names, (None,) * len(names), known)
+        bound = _bind(names, ties, known)
         return tuple(bound.index(f) if f in bound else -1 for f in fields), tuple((n, i) for i, n in enumerate(names) if bound[i] is None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, nos, delims, headers, texts = (c.to_pylist() for c in batch.columns[:5])
+            ids, nos, delims, headers, texts, ties = (c.to_pylist() for c in batch.columns[:6])
             columns: list[list] = [[] for _ in fields]
             rest = []
-            for delim, header, text in zip(delims, headers, texts, strict=True):
+            for delim, header, text, tie in zip(delims, headers, texts, ties, strict=True):
                 cells = split_line(text, delim or ",")
-                where, others = plan(header, delim)
+                where, others = plan(header, delim, tie)
                 for out, i in zip(columns, where, strict=True):
                     out.append((cells[i] or None) if 0 <= i < len(cells) else None)
                 rest.append([(n, cells[i]) for n, i in others if i < len(cells) and cells[i]] if extra else None)
@@ -266,26 +369,29 @@ def _project(known, extra: bool):
 def consistent_table(files: DataFrame, lines: DataFrame, fields: Mapping[str, tuple[str, ...]] = FIELDS, date_of_path: str | None = "date") -> DataFrame:
     """All lines of all files as one table: file_id, line_no, the fields as text, ``others``.
 
-    Each file is read through the projection its script compiles to.  ``others`` maps the file's
+    Each file is read through the projection its script compiles to; columns of unlisted names are
+    tied to fields by ``column_ties``, over the files of a feed where ``files`` has one.  ``others`` maps the file's
     further columns to their non-empty cells.  An empty cell is null.  Where a file has no date
     column, ``date`` is filled from the path's date (None: isn't).  Every line with a file comes out
     exactly once; cells beyond the header are dropped, missing ones are null.
     """
     known = _known(fields)
-    head = files.select("file_id", "delim", "header_line", *([F.col(date_of_path).alias("_path_date")] if date_of_path else []))
+    if "feed" not in files.columns:
+        files = files.withColumn("feed", F.lit(None).cast("string"))
+    head = _tied(files, lines, known).select("file_id", "delim", "header_line", "ties", *([F.col(date_of_path).alias("_path_date")] if date_of_path else []))
     joined = lines.select("file_id", "line_no", "line_text").join(head, "file_id")
     kind = "file_id bigint, line_no int, " + ", ".join(f"{f} string" for f in fields) + ", others map<string,string>"
     if not date_of_path or "date" not in fields:
-        return joined.select("file_id", "line_no", "delim", "header_line", "line_text").mapInArrow(_project(known, True), kind)
+        return joined.select("file_id", "line_no", "delim", "header_line", "line_text", "ties").mapInArrow(_project(known, True), kind)
     # the path's date rides along as one more cell of a column that is used only where no other date is
-    inner = joined.select("file_id", "line_no", "delim", "header_line", "line_text", "_path_date")
+    inner = joined.select("file_id", "line_no", "delim", "header_line", "line_text", "ties", "_path_date")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         project = _project(known, True)
         at = 2 + list(fields).index("date")
         for batch in batches:
             for out in project(iter([batch])):
-                dates = pc.coalesce(out.column(at), batch.column(5).cast(pa.string()))
+                dates = pc.coalesce(out.column(at), batch.column(6).cast(pa.string()))
                 yield out.set_column(at, "date", dates)
 
     return inner.mapInArrow(run, kind)

@@ -232,3 +232,37 @@ def test_consistent_table(spark):
     assert [r.v for r in odd.collect()] == [1234.5, 107.8, -3.0, None, None]
     days = spark.createDataFrame([("2024-3-4",), ("20240304",), ("4.3.2024",), ("2024-03-04 10:00",), ("2024-13-40",)], "d string").select(schema_drift.calendar_date(F.col("d")).cast("string").alias("v"))
     assert [r.v for r in days.collect()] == ["2024-03-04"] * 4 + [None]
+
+
+def test_unlisted_names_are_tied_by_their_cells(spark):
+    rng = random.Random(5)
+    things = ["desk lamp", "garden stool", "fan", "kettle", "shelf"]
+    heads = [
+        (1, "a", 1, "customer,product,amount,date"),
+        (2, "a", 2, "customer,Bezeichnung,amount,date"),
+        (3, "a", 3, "customer,Bezeichnung,Betrag,date,qty"),
+        (4, "a", 4, "customer,product,Betrag,Verkauft am,qty"),
+        (5, "b", 1, "customer,product,amount,date,qty"),
+        (6, "b", 2, "customer,product,date,qty,note"),
+    ]
+    cells = {
+        "customer": lambda: f"c{rng.randint(1, 9)}", "product": lambda: rng.choice(things), "amount": lambda: f"{rng.uniform(20, 90):.2f}",
+        "date": lambda: f"2024-0{rng.randint(1, 9)}-1{rng.randint(0, 9)}", "qty": lambda: str(rng.randint(1, 6)), "note": lambda: "call first",
+    }
+    same = {"bezeichnung": "product", "betrag": "amount", "verkauft am": "date"}
+    made = [(i, k, [cells[same.get(h.lower(), h)]() for h in head.split(",")], head) for i, _, _, head in heads for k in range(40)]
+    files = spark.createDataFrame([(i, f, n, ",", h, None) for i, f, n, h in heads], "file_id long, feed string, seq_no int, delim string, header_line string, date string")
+    lines = spark.createDataFrame([(i, k, ",".join(c)) for i, k, c, _ in made], "file_id long, line_no int, line_text string")
+    for block in (4096, 2):
+        got = {(r.file_id, r.field_name, r.change_kind) for r in schema_drift.drift_report(files, lines, block=block).collect()}
+        assert got == {
+            (2, "product", "renamed"), (3, "amount", "renamed"), (3, "qty", "added"), (4, "product", "renamed"), (4, "date", "renamed"),
+            (6, "amount", "removed"), (6, "note", "added"),
+        }
+    rows = {(r.file_id, r.line_no): r for r in schema_drift.consistent_table(files, lines).collect()}
+    assert len(rows) == len(made)
+    for i, k, c, head in made:
+        want = {same.get(h.lower(), h): x for h, x in zip(head.split(","), c, strict=True)}
+        r = rows[i, k]
+        assert [r[f] for f in ("customer", "product", "amount", "date")] == [want.get(f) for f in ("customer", "product", "amount", "date")]
+        assert dict(r.others or {}) == {h: x for h, x in want.items() if h in ("qty", "note")}
