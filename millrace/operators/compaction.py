@@ -16,11 +16,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 SMALL_BYTES = 2048
 TARGET_BYTES = 128 << 20
 _CHUNK = 4 << 20
 _ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 _MANIFEST = "container string, path string, n_files bigint, n_lines bigint, n_bytes bigint, line_crc_sum bigint, content_crc bigint"
+#: A row a file of a container, before the container's own row.
+_PARTS = _MANIFEST + ", file_id bigint, file_lines bigint, file_body bigint, file_head bigint"
 
 
 def _bytes(text: str) -> Column:
@@ -85,6 +89,7 @@ def _writer(out_dir: str, write: bool):
         target, root = pafs.FileSystem.from_uri(out_dir) if write else (None, "")
         now: dict = {}
         sink = None
+        parts: list[list] = []
 
         def close() -> pa.RecordBatch:
             nonlocal sink
@@ -92,8 +97,13 @@ def _writer(out_dir: str, write: bool):
                 sink.close()
                 sink = None
                 target.move(now["temp"], now["path"])  # a repeated task replaces the file by an equal one
-            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["sum"], now["crc"]]
-            return pa.RecordBatch.from_arrays([pa.array([v]) for v in row], names=[c.split()[0] for c in _MANIFEST.split(", ")])
+            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["sum"], now["crc"], None, None, None, None]
+            return batch_of([*parts, row])
+
+        def batch_of(rows: list[list]) -> pa.RecordBatch:
+            columns = [c.split() for c in _PARTS.split(", ")]
+            arrays = [pa.array([r[i] for r in rows], pa.string() if kind == "string" else pa.int64()) for i, (_, kind) in enumerate(columns)]
+            return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in columns])
 
         for batch in batches:
             buffer = []
@@ -104,6 +114,7 @@ def _writer(out_dir: str, write: bool):
                             sink.write(b"".join(buffer))
                         buffer = []
                         yield close()
+                        parts = []
                     now = {"container": container, "files": 0, "last": None, "lines": 0, "bytes": 0, "sum": 0, "crc": 0, "path": None}
                     if write:
                         now["path"] = f"{root}/{container}.csv"
@@ -116,11 +127,17 @@ def _writer(out_dir: str, write: bool):
                         buffer.append(data)
                 if file_id != now["last"]:
                     now["last"], now["files"] = file_id, now["files"] + 1
+                    if len(parts) >= 10_000:
+                        yield batch_of(parts)
+                        parts = []
+                    parts.append([now["container"], *[None] * 6, file_id, 0, 0, 0 if header is None else len(header.encode()) + 1])
                 if line_no is not None or line is not None:
                     body = (line or "").encode()
                     data = body + b"\n"
                     now["lines"] += 1
                     now["bytes"] += len(data)
+                    parts[-1][8] += 1
+                    parts[-1][9] += len(data)
                     now["sum"] += zlib.crc32(body)
                     now["crc"] = zlib.crc32(data, now["crc"])
                     buffer.append(data)
@@ -143,6 +160,24 @@ def compact_lines(planned: DataFrame, lines: DataFrame, out_dir: str | None = No
     in that of line_no; each line is written exactly as often as it occurs.  A file without lines
     adds none.
     """
+    return _checked(planned, _joined(planned, lines, out_dir).where("file_id is null"))
+
+
+def compact_measured(planned: DataFrame, lines: DataFrame, out_dir: str | None = None) -> DataFrame:
+    """``compact_lines``, but a row a file: ``file_id, n_lines, true_bytes`` as they were counted while it was joined.
+
+    true_bytes is as in ``measure``.  A container that isn't valid is an error, so that no file is left out.
+    """
+    made = cut_lineage(_joined(planned, lines, out_dir))  # a row a file and container: joined once
+    bad = _checked(planned, made.where("file_id is null")).where(~F.col("valid")).select("container").limit(5).collect()
+    if bad:
+        raise ValueError(f"containers that don't hold what was planned: {', '.join(r.container for r in bad)}")
+    bytes_ = (F.sum("file_body") + F.max("file_head")).alias("true_bytes")
+    return made.where("file_id is not null").groupBy("file_id").agg(F.sum("file_lines").alias("n_lines"), bytes_)
+
+
+def _joined(planned: DataFrame, lines: DataFrame, out_dir: str | None) -> DataFrame:
+    """``_PARTS`` of the containers as they are joined; the files' rows have no path."""
     part = planned.select("container", "file_id", "header_line", "pieces", "n_lines")
     rows = part.join(lines.select("file_id", "line_no", "line_text"), "file_id", "left")
     share = F.floor((F.coalesce("line_no", F.lit(1)) - 1) * F.col("pieces") / F.greatest("n_lines", F.lit(1)))
@@ -151,7 +186,10 @@ def compact_lines(planned: DataFrame, lines: DataFrame, out_dir: str | None = No
     spark = planned.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.select("container", "file_id", "line_no", "header_line", "line_text").repartition(n, "container").sortWithinPartitions("container", "file_id", "line_no")
-    made = placed.mapInArrow(_writer(out_dir or "", out_dir is not None), _MANIFEST)
+    return placed.mapInArrow(_writer(out_dir or "", out_dir is not None), _PARTS)
+
+
+def _checked(planned: DataFrame, made: DataFrame) -> DataFrame:
     # what a plan's container holds is compared with what all its pieces hold; each piece repeats the header
     base = F.regexp_replace("container", r"^(whole-[^-]*)-[0-9]+$", "$1")
     made = made.withColumn("_c", base)

@@ -76,16 +76,17 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(refs.where(F.col("customer").isNotNull()), _orphans(spark, sf_dir, refs), "tab_name", "loaded_at")
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = compaction.measure(table(spark, sf_dir, "sales_files").select("file_id", "header_line"), table(spark, sf_dir, "file_rows"), checksums=False)
-    return compaction.small_files(sized, compaction.SMALL_BYTES).select("file_id")
-
-
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "sales_files").select("file_id", schema_drift.calendar_date(F.col("date")).alias("day"), "delim", "header_line")
     return compaction.plan_containers(compaction.measure(files, table(spark, sf_dir, "file_rows")), ["day"])
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small files, by the bytes that the validated containers got of each."""
+    joined = compaction.compact_measured(_planned(spark, sf_dir), table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-found"))
+    return compaction.small_files(joined, compaction.SMALL_BYTES).select("file_id")
+
+
 def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = compaction.compact_lines(_planned(spark, sf_dir), table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-layout"))
     return manifest.select("container", "n_files", "n_lines", "n_bytes", "valid")

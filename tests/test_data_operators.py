@@ -266,3 +266,21 @@ def test_unlisted_names_are_tied_by_their_cells(spark):
         r = rows[i, k]
         assert [r[f] for f in ("customer", "product", "amount", "date")] == [want.get(f) for f in ("customer", "product", "amount", "date")]
         assert dict(r.others or {}) == {h: x for h, x in want.items() if h in ("qty", "note")}
+
+
+def test_small_files_come_from_the_validated_containers(spark, tmp_path, monkeypatch):
+    from millrace.plans import data_queries
+
+    files = [(1, "a,b", "2024-01-01"), (2, "a,b", "2024-01-01"), (3, None, "2024-01-01"), (4, "a,b", None), (5, "ä", "2024-01-02")]
+    spark.createDataFrame(files, "file_id long, header_line string, date string").withColumn("delim", F.lit(",")).write.parquet(f"{tmp_path}/sales_files.parquet")
+    rows = [(1, 1, "x" * 2042), (2, 1, "x" * 2043), (3, 1, "x" * 2046), (5, 1, None), (5, 2, "é"), (9, 1, "no file")]
+    spark.createDataFrame(rows, "file_id long, line_no int, line_text string").write.parquet(f"{tmp_path}/file_rows.parquet")
+    monkeypatch.setattr(data_queries, "fresh_dir", lambda *_: f"file://{tmp_path}/out")
+    got = {r.file_id for r in data_queries.p5_found(spark, str(tmp_path)).collect()}
+    assert got == {1, 3, 4, 5}
+    # the containers were written: three headers of four bytes or less, once each, and every line
+    stored = [x.read_bytes() for x in (tmp_path / "out").glob("*.csv")]
+    assert sorted(map(len, stored)) == sorted([4 + 2043 + 2044, 2047, 4, 3 + 1 + 3])
+    planned = data_queries._planned(spark, str(tmp_path)).withColumn("n_lines", F.col("n_lines") + (F.col("file_id") == 2).cast("long"))
+    with pytest.raises(ValueError, match="planned"):
+        compaction.compact_measured(planned, spark.read.parquet(f"{tmp_path}/file_rows.parquet"))
