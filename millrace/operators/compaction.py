@@ -24,7 +24,7 @@ _CHUNK = 4 << 20
 _ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 _MANIFEST = "container string, path string, n_files bigint, n_lines bigint, n_bytes bigint, line_crc_sum bigint, content_crc bigint"
 #: A row a file of a container, before the container's own row.
-_PARTS = _MANIFEST + ", file_id bigint, file_lines bigint, file_body bigint, file_head bigint"
+_PARTS = _MANIFEST + ", stored bigint, file_id bigint, file_lines bigint, file_body bigint, file_head bigint"
 
 
 def _bytes(text: str) -> Column:
@@ -84,6 +84,22 @@ def plan_containers(measured: DataFrame, by: Sequence[str], target_bytes: int =
     return joined.withColumn("container", name).withColumn("pieces", cuts.cast("long")).drop("_sum")
 
 
+def _stored(filesystem: pafs.FileSystem, path: str, pieces: Sequence[tuple[int, int]]) -> bool:
+    """Whether a stored file, read again, consists of pieces of these lengths and checksums."""
+    with filesystem.open_input_stream(path, compression=None) as source:
+        for length, crc in pieces:
+            got = 0
+            while length:
+                data = source.read(min(length, _CHUNK))
+                if not data:
+                    return False
+                got = zlib.crc32(data, got)
+                length -= len(data)
+            if got != crc:
+                return False
+        return not source.read(1)
+
+
 def _writer(out_dir: str, write: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = pafs.FileSystem.from_uri(out_dir) if write else (None, "")
@@ -93,11 +109,13 @@ def _writer(out_dir: str, write: bool):
 
         def close() -> pa.RecordBatch:
             nonlocal sink
+            stored = None
             if sink is not None:
                 sink.close()
                 sink = None
+                stored = int(_stored(target, now["temp"], [(now["bytes"], now["crc"])]))
                 target.move(now["temp"], now["path"])  # a repeated task replaces the file by an equal one
-            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["sum"], now["crc"], None, None, None, None]
+            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["sum"], now["crc"], stored, None, None, None, None]
             return batch_of([*parts, row])
 
         def batch_of(rows: list[list]) -> pa.RecordBatch:
@@ -130,14 +148,14 @@ def _writer(out_dir: str, write: bool):
                     if len(parts) >= 10_000:
                         yield batch_of(parts)
                         parts = []
-                    parts.append([now["container"], *[None] * 6, file_id, 0, 0, 0 if header is None else len(header.encode()) + 1])
+                    parts.append([now["container"], *[None] * 7, file_id, 0, 0, 0 if header is None else len(header.encode()) + 1])
                 if line_no is not None or line is not None:
                     body = (line or "").encode()
                     data = body + b"\n"
                     now["lines"] += 1
                     now["bytes"] += len(data)
-                    parts[-1][8] += 1
-                    parts[-1][9] += len(data)
+                    parts[-1][9] += 1
+                    parts[-1][10] += len(data)
                     now["sum"] += zlib.crc32(body)
                     now["crc"] = zlib.crc32(data, now["crc"])
                     buffer.append(data)
@@ -154,7 +172,7 @@ def compact_lines(planned: DataFrame, lines: DataFrame, out_dir: str | None = No
 
     Columns: ``container, path, n_files, n_lines, n_bytes, line_crc_sum, content_crc`` as joined,
     ``want_lines, want_bytes, want_crc_sum`` as planned (for a cut file: of all its pieces), and
-    ``valid``, whether what was joined and what was planned agree.  With
+    ``valid``, whether what was joined and what was planned agree, and what is stored has the length and checksum of what was joined.  With
     ``out_dir`` the bytes are written there (any file system pyarrow knows), each container under a
     temporary name until it is whole.  Within a container files come in the order of file_id, lines
     in that of line_no; each line is written exactly as often as it occurs.  A file without lines
@@ -194,14 +212,14 @@ def _checked(planned: DataFrame, made: DataFrame) -> DataFrame:
     base = F.regexp_replace("container", r"^(whole-[^-]*)-[0-9]+$", "$1")
     made = made.withColumn("_c", base)
     per = Window.partitionBy("_c")
-    got = {"got_files": F.max("n_files"), "got_lines": F.sum("n_lines"), "got_bytes": F.sum("n_bytes"), "got_sum": F.sum("line_crc_sum"), "got_pieces": F.count(F.lit(1))}
+    got = {"got_files": F.max("n_files"), "got_lines": F.sum("n_lines"), "got_bytes": F.sum("n_bytes"), "got_sum": F.sum("line_crc_sum"), "got_pieces": F.count(F.lit(1)), "got_stored": F.min(F.coalesce("stored", F.lit(1)))}
     made = made.withColumns({k: v.over(per) for k, v in got.items()})
     one = F.when(F.col("header_line").isNull(), F.lit(0)).otherwise(F.octet_length("header_line") + 1)
     want = planned.groupBy(F.col("container").alias("_c")).agg(
         F.count(F.lit(1)).alias("want_files"), F.sum("n_lines").alias("want_lines"), F.sum(F.col("true_bytes") - one).alias("_body"), F.max(one).alias("_head"), F.sum("line_crc_sum").alias("want_crc_sum")
     )
     checked = want.join(made, "_c", "left").withColumn("want_bytes", F.col("_body") + F.col("_head") * F.col("got_pieces"))
-    same = F.lit(True)
+    same = F.col("got_stored") == 1
     for a, b in (("got_files", "want_files"), ("got_lines", "want_lines"), ("got_bytes", "want_bytes"), ("got_sum", "want_crc_sum")):
         same = same & (F.col(a) == F.col(b))
     names = ["path", "n_files", "n_lines", "n_bytes", "line_crc_sum", "content_crc", "want_lines", "want_bytes", "want_crc_sum"]
@@ -212,18 +230,59 @@ def _is_zstd(path: str) -> bool:
     return path.endswith((".zst", ".zstd"))
 
 
-def _join_files(filesystem: pafs.FileSystem, paths: Sequence[str], out: str, header_lines: int) -> tuple[int, int, int]:
-    """Joins files into ``out`` chunk by chunk; returns bytes read, bytes written and bytes left out or put in."""
+def _check_frames(filesystem: pafs.FileSystem, path: str) -> None:
+    """Walks the frame and block headers of a zstandard file to its end; an incomplete frame is an error."""
+    with filesystem.open_input_file(path) as source:
+        size, at = source.size(), 0
+
+        def take(n: int) -> bytes:
+            nonlocal at
+            if at + n > size:
+                raise ValueError(f"{path} ends within a zstandard frame")
+            source.seek(at)
+            at += n
+            return source.read(n)
+
+        def skip(n: int) -> None:
+            nonlocal at
+            if at + n > size:
+                raise ValueError(f"{path} ends within a zstandard frame")
+            at += n
+
+        while at < size:
+            magic = take(4)
+            if magic[1:] == b"\x2a\x4d\x18" and magic[0] >> 4 == 5:
+                skip(int.from_bytes(take(4), "little"))
+                continue
+            if magic != _ZSTD_MAGIC:
+                raise ValueError(f"{path} has something else than a zstandard frame at byte {at - 4}")
+            flags = take(1)[0]
+            single = flags >> 5 & 1
+            skip((1 - single) + (0, 1, 2, 4)[flags & 3] + (single, 2, 4, 8)[flags >> 6])
+            last = False
+            while not last:
+                block = int.from_bytes(take(3), "little")
+                last, kind = bool(block & 1), block >> 1 & 3
+                if kind == 3:
+                    raise ValueError(f"{path} has a broken zstandard block at byte {at - 3}")
+                skip(1 if kind == 1 else block >> 3)
+            skip(4 * (flags >> 2 & 1))
+
+
+def _join_files(filesystem: pafs.FileSystem, paths: Sequence[str], out: str, header_lines: int) -> tuple[int, int, int, list[tuple[int, int]]]:
+    """Joins files into ``out`` chunk by chunk; returns bytes read, bytes written, bytes left out or put in, and the length and checksum of each piece."""
     framed = _is_zstd(paths[0])
     read = written = adjusted = 0
     head = b""
+    pieces: list[tuple[int, int]] = []
     with filesystem.open_output_stream(out, compression=None) as sink:
         last = b"\n"
         for k, path in enumerate(paths):
+            if framed:
+                _check_frames(filesystem, path)
+            length = crc = 0
             with filesystem.open_input_stream(path, compression=None) as source:
                 data = source.read(_CHUNK)
-                if framed and data and not data.startswith(_ZSTD_MAGIC):
-                    raise ValueError(f"{path} doesn't begin with a zstandard frame")
                 if not framed and header_lines and data:
                     end = 0
                     for _ in range(header_lines):
@@ -241,15 +300,18 @@ def _join_files(filesystem: pafs.FileSystem, paths: Sequence[str], out: str, hea
                             data = source.read(_CHUNK)
                 if not framed and data and last != b"\n":
                     sink.write(b"\n")
+                    pieces.append((1, zlib.crc32(b"\n")))
                     written += 1
                     adjusted += 1
                 while data:
                     read += len(data)
                     written += len(data)
                     sink.write(data)
+                    length, crc = length + len(data), zlib.crc32(data, crc)
                     last = data[-1:]
                     data = source.read(_CHUNK)
-    return read, written, adjusted
+            pieces.append((length, crc))
+    return read, written, adjusted, pieces
 
 
 def compact_paths(spark: SparkSession, paths: Sequence[str] | str, out_dir: str, target_bytes: int = TARGET_BYTES, header_lines: int = 0) -> DataFrame:
@@ -259,7 +321,8 @@ def compact_paths(spark: SparkSession, paths: Sequence[str] | str, out_dir: str,
     the last line has none and lose all headers but the first (they must be equal); files of complete
     zstandard frames (.zst) are joined as they are, headers included.  Returns ``container, n_files,
     bytes_in, bytes_out, bytes_adjusted, valid``; valid means that the container's stored length is
-    bytes_in + bytes_adjusted.  Empty files add nothing; no files give no rows.
+    bytes_in + bytes_adjusted and that its bytes, read again, have the checksum of each input.  A file
+    that ends within a zstandard frame is an error.  Empty files add nothing; no files give no rows.
     """
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths) if not isinstance(paths, str) else paths).select("path", "length")
     folder = F.regexp_replace("path", "/[^/]*$", "")
@@ -274,10 +337,10 @@ def compact_paths(spark: SparkSession, paths: Sequence[str] | str, out_dir: str,
         source = [pafs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1))[1] for p in sorted(pdf["path"])]
         filesystem.create_dir(root, recursive=True)
         final = f"{root}/{key[0]}"
-        read, written, adjusted = _join_files(filesystem, source, final + ".tmp", header_lines)
+        read, written, adjusted, pieces = _join_files(filesystem, source, final + ".tmp", header_lines)
         filesystem.move(final + ".tmp", final)
         stored = filesystem.get_file_info(final).size
-        valid = stored == written == read + adjusted and read == int(pdf["length"].sum())
+        valid = stored == written == read + adjusted and read == int(pdf["length"].sum()) and _stored(filesystem, final, pieces)
         return pd.DataFrame([(key[0], len(pdf), read, stored, adjusted, valid)], columns=["container", "n_files", "bytes_in", "bytes_out", "bytes_adjusted", "valid"])
 
     return dealt.select("container", "path", "length").groupBy("container").applyInPandas(

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -284,3 +285,21 @@ def test_small_files_come_from_the_validated_containers(spark, tmp_path, monkeyp
     planned = data_queries._planned(spark, str(tmp_path)).withColumn("n_lines", F.col("n_lines") + (F.col("file_id") == 2).cast("long"))
     with pytest.raises(ValueError, match="planned"):
         compaction.compact_measured(planned, spark.read.parquet(f"{tmp_path}/file_rows.parquet"))
+
+
+def test_stored_bytes_are_read_again_and_frames_are_whole(spark, tmp_path):
+    from pyarrow import fs as pafs
+
+    local = pafs.LocalFileSystem()
+    whole = pa.compress(b"record one\n" * 50, codec="zstd", asbytes=True)
+    (tmp_path / "a.zst").write_bytes(whole[:-3])
+    (tmp_path / "b.zst").write_bytes(whole + b"\x50\x2a\x4d\x18\x02\x00\x00\x00ab")
+    with pytest.raises(ValueError, match="within a zstandard frame"):
+        compaction._join_files(local, [f"{tmp_path}/a.zst", f"{tmp_path}/b.zst"], f"{tmp_path}/out.zst", 0)
+    pieces = compaction._join_files(local, [f"{tmp_path}/b.zst"] * 2, f"{tmp_path}/out.zst", 0)[3]
+    assert compaction._stored(local, f"{tmp_path}/out.zst", pieces)
+    bad = bytearray((tmp_path / "out.zst").read_bytes())
+    bad[-1] ^= 1
+    for data in (bytes(bad), bytes(bad[:-1]), bytes(bad) + b"x"):
+        (tmp_path / "out.zst").write_bytes(data)
+        assert not compaction._stored(local, f"{tmp_path}/out.zst", pieces)
