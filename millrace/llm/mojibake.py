@@ -3,8 +3,15 @@
 A character n-gram model is trained on the clean records of the table itself.  Every candidate chain
 (encode the text as the encoding it was wrongly read in, decode it as the one it was written in,
 for some chains twice) is scored by how much likelier it makes the text; a passage is taken as
-garbled where the likeliest chain's gain exceeds a margin that is validated on held-out clean text
-and on the same text garbled on purpose.
+garbled where the likeliest chain's gain exceeds a margin that is validated on the lines of held-out
+clean records, as they are and garbled on purpose.
+
+Which records are clean is told by a first model, trained on all of them.  Left out of the second,
+which judges, are whole records: those with lines that the first model finds garbled, with a
+replacement character, or with a word that is whole UTF-8 sequences in a wrong encoding and not less
+likely when read as such, as hardly any other text is.  The first model knows every word that it
+judges: so neither does garbled text that occurs often pass for clean, nor is a rare clean word left
+out, after which nothing would speak for it.
 
 Only passages with characters beyond ASCII can be garbled, as all encodings here agree on ASCII.
 Passages are lines; their words are scored once per worker and the scores summed along the line.
@@ -13,16 +20,18 @@ Passages are lines; their words are scored once per worker and the scores summed
 from __future__ import annotations
 
 import codecs
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import cut_lineage
+
 #: Encodings in which texts get wrongly read, and in which they were written.
 READ_AS = ("cp1252", "latin_1", "cp1250", "cp1251", "koi8_r", "cp1253", "cp1254", "cp437", "cp850", "cp866", "mac_roman", "iso8859_2", "iso8859_7")
 WRITTEN_IN = ("cp1252", "cp1250", "cp1251", "koi8_r", "cp1253", "cp1254", "cp437", "cp850", "cp852", "cp866", "mac_roman", "iso8859_2", "iso8859_7", "iso8859_5")
@@ -164,6 +173,9 @@ class Model:
     bi: np.ndarray = field(default_factory=lambda: np.zeros(BI, np.float32))
     tri: np.ndarray = field(default_factory=lambda: np.zeros(TRI, np.float32))
     margin: float = 6.0
+    #: Shares of held-out clean and garbled lines that the margin judges wrongly.
+    clean_errors: float = 0.0
+    garbled_errors: float = 0.0
 
     def log_p(self, codes: np.ndarray) -> np.ndarray:
         """For each character from the third on, its log probability after the two before it."""
@@ -283,6 +295,7 @@ def _member(positions: np.ndarray, size: int) -> np.ndarray:
 
 _BY_READ = {r: [(i, w) for i, (r2, w) in enumerate(SINGLES) if r2 == r] for r in READ_AS}
 _PLACE = {c: len(SINGLES) + j for j, c in enumerate(MULTIS)}
+_UTF8 = np.array([j for c, j in _PLACE.items() if c[1] == "utf_8"])
 _TWICE = {r: [(c[2], j) for c, j in _PLACE.items() if len(c) == 4 and c[0] == r] for r in READ_AS}
 
 
@@ -307,6 +320,9 @@ LOSSY: tuple[tuple[str, ...], ...] = (
 )
 _LOST_CHAINS = [(*c, "with losses") for c in LOSSY]
 CHAINS += _LOST_CHAINS
+#: The chain of text whose bytes a strict reader replaced: nothing can be encoded back.
+LOST = ("lost",)
+CHAINS.append(LOST)
 #: States of a search kept at once (a few bytes each), and steps between states computed at once.
 _STATES, _STEPS = 1 << 20, 1 << 18
 _END = (3, 1)
@@ -488,7 +504,15 @@ class _Losses:
 
 def _with_losses(model: Model, losses: _Losses, words: list[str], out: np.ndarray) -> None:
     """Fills the columns of the chains with losses."""
-    first = len(CHAINS) - len(_LOST_CHAINS)
+    first = len(CHAINS) - 1 - len(_LOST_CHAINS)
+    replaced = [i for i, word in enumerate(words) if REPLACEMENT in word]
+    if replaced:
+        codes, starts = _codes([words[i] for i in replaced])
+        sign = codes == ord(REPLACEMENT)
+        usual = np.log((model.uni[codes[2:]] + 0.02) / (model.uni.sum() + 0.02 * UNI))
+        # any character may have been there, and what it was tells nothing of those after it
+        free = np.where(sign[2:], 0.0, np.where(sign[1:-1] | sign[:-2], usual, model.log_p(codes)))
+        out[replaced, -1] = _sums(free, codes, starts) - _sums(model.log_p(codes), codes, starts)
     where = [(i, k) for i, word in enumerate(words) if not word.isascii() for k in range(len(LOSSY)) if not losses.firsts[k].isdisjoint(word)]
     if not where:
         return
@@ -506,16 +530,16 @@ class Scorer:
         self.model, self.losses = model, _Losses(model)
         self.prior = prior if prior is not None else np.zeros(len(CHAINS), np.float32)
         self.known: dict[str, tuple[float, np.ndarray]] = {}
-        #: Of these the words that some chain makes likelier, and that make a line unfit for the second model.
+        #: Of these the words that some chain makes likelier, and those that reading as UTF-8 does.
         self.suspect: set[str] = set()
-        self.bad: set[str] = set()
+        self.utf8: set[str] = set()
 
     def prepare(self, words: Iterable[str]) -> None:
         """Scores the words that aren't known; at most _CACHE words are kept, or those just asked for."""
         wanted = set(words)
         new = [w for w in wanted if w not in self.known]
         if len(self.known) + len(new) > _CACHE:
-            self.known, self.suspect, self.bad = {}, set(), set()
+            self.known, self.suspect, self.utf8 = {}, set(), set()
             new = list(wanted)
         for lo in range(0, len(new), 4096):
             part = new[lo : lo + 4096]
@@ -525,11 +549,14 @@ class Scorer:
                 self.known[word] = (best, row)
                 if best > 0:
                     self.suspect.add(word)
-                    if best > LINE_CUT:
-                        self.bad.add(word)
+                    if row[_UTF8].max() > 0:
+                        self.utf8.add(word)
 
-    def over_lines(self, documents: list[list[list[str]]], judge: Callable[[list[str]], object]) -> list[list]:
-        """``judge`` of each line of each document, in portions of lines whose words fit into memory, however long a document is."""
+    def over_lines(self, documents: list[list[list[str]]], judge: Callable[[list[str]], object], evidence: np.ndarray | None = None) -> list[list]:
+        """``judge`` of each line of each document, in portions of lines whose words fit into memory, however long a document is.
+
+        ``evidence``, a row a document and a column a chain, gets the gains of the lines that the chain makes likelier.
+        """
         out: list[list] = [[] for _ in documents]
         portion: list[tuple[int, list[str]]] = []
         size = 0
@@ -538,6 +565,8 @@ class Scorer:
             self.prepare(w for _, words in portion for w in words)
             for i, words in portion:
                 out[i].append(judge(words))
+                if evidence is not None and not self.suspect.isdisjoint(words):
+                    evidence[i] += np.maximum(self.total(words), 0.0)
 
         for i, lines in enumerate(documents):
             for words in lines:
@@ -549,26 +578,26 @@ class Scorer:
         settle()
         return out
 
-    def sound(self, words: list[str]) -> bool:
-        """Whether no word of a line looks garbled."""
-        return self.bad.isdisjoint(words)
+    def total(self, words: list[str]) -> np.ndarray:
+        """Each chain's gains summed along a line."""
+        return np.sum([self.known[w][1] for w in words], axis=0)
 
     def line(self, words: list[str]) -> tuple[float, int]:
         """The best chain's summed gain along a line, with its prior, and the chain."""
         if self.suspect.isdisjoint(words):
             return -1.0, -1
-        total = self.prior.copy()
-        for w in words:
-            total = total + self.known[w][1]
+        total = self.prior + self.total(words)
         best = int(total.argmax())
         return float(total[best]), best
 
 
-#: A word whose gain is above this is left out of the first model; a line with a word above LINE_CUT of the second.
-WORD_CUT, LINE_CUT = 12.0, 4.0
-#: Words kept out of training to choose the margin: one in so many, by a hash.
+#: Gain of a line, or of a record's lines along one chain, under the first model from which on the record isn't clean.
+CLEAN_CUT = 12.0
+#: Records kept out of the trial model to choose the margin: one in so many, by a hash of the text.
 HELD_OUT = 10
-_BINS = np.arange(-12.0, 40.25, 0.25)
+#: Chains that held-out lines are garbled along: the commonest, and for each line so many of them.
+COMMON, TRIALS = 24, 2
+_BINS = np.arange(-12.0, 80.25, 0.25)
 _SCORERS: dict[int, tuple[object, Scorer]] = {}
 
 
@@ -581,26 +610,49 @@ def _scorer(shared) -> Scorer:
     return _SCORERS[id(value)][1]
 
 
-def _count_words(texts: DataFrame, shared=None) -> DataFrame:
-    """``word, n``: words beyond ASCII; with a model, those of lines without a word that looks garbled under it."""
+def _counted(counts: dict[tuple[int, str], int]) -> pa.RecordBatch:
+    columns = [pa.array([k for k, _ in counts], pa.int32()), pa.array([w for _, w in counts], pa.string()), pa.array(list(counts.values()), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "word", "n"])
+
+
+#: What ``_count`` counts: words of clean records, of clean held-out records, these records' lines, garbled lines by chain, all lines.
+_TRAIN, _HELD, _LINE, _CHAIN, _ALL = range(5)
+
+
+def _count(texts: DataFrame, shared=None) -> DataFrame:
+    """``kind, word, n``; without a model only words, of all records without a replacement character."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared) if shared is not None else None
-        counts: dict[str, int] = {}
+        counts: dict[tuple[int, str], int] = {}
+
+        def add(kind: int, key: str) -> None:
+            counts[kind, key] = counts.get((kind, key), 0) + 1
+
         for batch in batches:
-            documents = [words_beyond_ascii(t) for t in batch.column(0).to_pylist() if t]
-            kept = scorer.over_lines(documents, scorer.sound) if scorer is not None else None
-            for i, lines in enumerate(documents):
-                for j, words in enumerate(lines):
-                    if kept is None or kept[i][j]:
+            texts = [t for t in batch.column(0).to_pylist() if t and not t.isascii()]
+            documents = [words_beyond_ascii(t) for t in texts]
+            evidence = np.zeros((len(documents), len(CHAINS)), np.float32)
+            scores = scorer.over_lines(documents, scorer.line, evidence) if scorer is not None else [[]] * len(documents)
+            for text, lines, judged, most in zip(texts, documents, scores, evidence.max(axis=1).tolist(), strict=True):
+                for gain, chain in judged:
+                    if gain > CLEAN_CUT:
+                        add(_CHAIN, str(chain))
+                if most <= CLEAN_CUT and REPLACEMENT not in text and (scorer is None or scorer.utf8.isdisjoint(w for words in lines for w in words)):
+                    held = scorer is not None and zlib.crc32(text.encode("utf-8", "surrogatepass")) % HELD_OUT == 0
+                    for words in lines:
                         for w in words:
-                            counts[w] = counts.get(w, 0) + 1
+                            add(_HELD if held else _TRAIN, w)
+                        if held:
+                            add(_LINE, " ".join(words))
+                if scorer is not None:
+                    counts[_ALL, ""] = counts.get((_ALL, ""), 0) + len(lines)
             if len(counts) > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts)), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+                yield _counted(counts)
                 counts = {}
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        yield _counted(counts)
 
-    return texts.mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(run, "kind int, word string, n bigint").groupBy("kind", "word").agg(F.sum("n").alias("n"))
 
 
 def _train(words: DataFrame) -> Model:
@@ -630,115 +682,86 @@ def _train(words: DataFrame) -> Model:
     return Model(table[:UNI], table[UNI : UNI + BI], table[UNI + BI :])
 
 
-def _prior(words: DataFrame, shared) -> np.ndarray:
-    """Log shares of the chains among the words that are surely garbled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, found = _scorer(shared), np.zeros(len(CHAINS))
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            for lo in range(0, len(names), 4096):
-                scorer.prepare(names[lo : lo + 4096])
-                for w in names[lo : lo + 4096]:
-                    best, row = scorer.known[w]
-                    if best > WORD_CUT:
-                        found[int(row.argmax())] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found)], names=["chain", "n"])
-
-    out = np.zeros(len(CHAINS))
-    for r in words.select("word").mapInArrow(run, "chain int, n double").groupBy("chain").agg(F.sum("n").alias("n")).collect():
-        out[r.chain] = r.n
-    return np.log((out + 0.2) / (out.sum() + 0.2 * len(out))).astype(np.float32)
-
-
-def _margin(held: DataFrame, shared, garbled_share: float) -> float:
-    """The margin with the fewest errors on held-out words as they are and garbled along the commonest chains."""
+def _margin(lines: DataFrame, shared, garbled_share: float) -> tuple[float, float, float]:
+    """``_least_errors`` on held-out lines, as they are and garbled along the commonest chains."""
     prior = shared.value[1]
-    common = [int(i) for i in np.argsort(-prior)[:12] if len(CHAINS[int(i)]) % 2 == 0]
+    common = [int(i) for i in np.argsort(-prior) if len(CHAINS[int(i)]) % 2 == 0][:COMMON]
     odds = np.exp(prior[common])
-    odds = odds / odds.sum()
+    odds = np.cumsum(odds / odds.sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared)
         table = np.zeros((2, len(_BINS) + 1))
-
-        def add(row: int, names: list[str], weights: list[float]) -> None:
-            for lo in range(0, len(names), 4096):
-                scorer.prepare(names[lo : lo + 4096])
-                for w, n in zip(names[lo : lo + 4096], weights[lo : lo + 4096], strict=True):
-                    table[row, int(np.searchsorted(_BINS, scorer.line([w])[0]))] += n
-
         for batch in batches:
-            names, weights = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            add(0, names, weights)
-            for i, share in zip(common, odds, strict=True):
-                made = [(g, n * share) for w, n in zip(names, weights, strict=True) if (g := garble(w, CHAINS[i])) is not None and g != w and not g.isascii()]
-                add(1, [g for g, _ in made], [n for _, n in made])
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                made: list[tuple[int, list[str], float]] = []
+                for line, n in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    made.append((0, line.split(" "), n))
+                    for k in range(TRIALS):
+                        # a number in [0, 1) by a hash: the same line meets the same chains wherever it is judged
+                        at = zlib.crc32(f"{k} {line}".encode("utf-8", "surrogatepass")) / 2**32
+                        bad = garble(line, CHAINS[common[int(np.searchsorted(odds, at, "right"))]])
+                        if bad is not None and bad != line:
+                            made.append((1, [w for w in bad.split(" ") if not w.isascii()], n / TRIALS))
+                scorer.prepare(w for _, words, _ in made for w in words)
+                for row, words, n in made:
+                    table[row, int(np.searchsorted(_BINS, scorer.line(words)[0]))] += n
         at = [(r, c) for r in range(2) for c in range(len(_BINS) + 1)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r for r, _ in at], pa.int32()), pa.array([c for _, c in at], pa.int32()), pa.array([table[x] for x in at])], names=["r", "c", "v"]
         )
 
     table = np.zeros((2, len(_BINS) + 1))
-    for x in held.select("word", "n").mapInArrow(run, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).collect():
+    for x in lines.select("word", "n").mapInArrow(run, "r int, c int, v double").groupBy("r", "c").agg(F.sum("v").alias("v")).collect():
         table[x.r, x.c] = x.v
+    return _least_errors(table, garbled_share)
+
+
+def _least_errors(table: np.ndarray, garbled_share: float) -> tuple[float, float, float]:
+    """The margin, and the shares of clean and garbled lines that are judged wrongly with it; Model.margin without lines of both kinds.
+
+    Of margins with equally few errors it is the one nearest to the log odds against a garbled line.
+    """
     if not table.sum(axis=1).all():
-        return 3.0
-    table /= table.sum(axis=1, keepdims=True)
-    wrong = (1 - garbled_share) * table[0, ::-1].cumsum()[::-1] + garbled_share * (1 - table[1, ::-1].cumsum()[::-1])
+        return Model.margin, 0.0, 0.0
+    table = table / table.sum(axis=1, keepdims=True)
+    # bin i holds scores up to _BINS[i]: with margin _BINS[i] the clean lines above it and the garbled ones up to it are judged wrongly
+    clean, garbled = 1 - table[0].cumsum()[:-1], table[1].cumsum()[:-1]
+    wrong = (1 - garbled_share) * clean + garbled_share * garbled
     least = np.flatnonzero(wrong <= wrong.min() + 1e-12)
-    chosen = float(_BINS[min(int(least[len(least) // 2]), len(_BINS) - 1)])
-    return float(np.clip(chosen, 1.0, 6.0))
+    i = int(min(least, key=lambda i: abs(_BINS[i] - np.log((1 - garbled_share) / garbled_share))))
+    return float(_BINS[i]), float(clean[i]), float(garbled[i])
 
 
 def train(documents: DataFrame, text: str) -> tuple[Model, np.ndarray]:
-    """The model of the table's clean records and the chains' priors.
+    """The model of the table's clean records, with its margin, and the chains' log shares among garbled lines.
 
-    Words are counted over all texts.  A first model leaves out words that are surely garbled, a
-    second is trained on lines without a suspicious word, a third on those lines' words that are
-    clean under the second; a tenth of its words is then held out once to choose the margin.
+    Two passes over all texts count words: of all records, for the first model, and of those that
+    are clean under it.  A tenth of the clean records is held out
+    once, to choose the margin on their lines.  What the driver gets are n-gram tables of fixed size.
     """
-    spark = documents.sparkSession
-    sc = spark.sparkContext
+    sc = documents.sparkSession.sparkContext
     texts = documents.select(F.col(text)).where(F.col(text).isNotNull())
-    words = _count_words(texts).persist(StorageLevel.MEMORY_AND_DISK)
-    zero = np.zeros(len(CHAINS), np.float32)
-    first = sc.broadcast((_train(words), zero))
-    second = sc.broadcast((_train(_without(words, first, WORD_CUT)), zero))
-    lines = _count_words(texts, second).persist(StorageLevel.MEMORY_AND_DISK)
-    clean = _train(lines)
-    third = sc.broadcast((clean, _prior(words, sc.broadcast((clean, zero)))))
-    kept = _without(lines, third, 0.0)  # no chain, with its prior, makes these likelier.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        model = _train(kept)
-        prior = _prior(words, sc.broadcast((model, zero)))
-        total, sound = (x.agg(F.sum("n")).first()[0] or 0 for x in (words, kept))
-        held = F.pmod(F.xxhash64("word"), F.lit(HELD_OUT)) == 0
-        trial = sc.broadcast((_train(kept.where(~held)), prior))
-        model.margin = _margin(kept.where(held), trial, max(1e-4, 1 - sound / total) if total else 0.01)
-    finally:
-        for x in (kept, lines, words):
-            x.unpersist()
+    first = sc.broadcast((_train(_count(texts)), np.zeros(len(CHAINS), np.float32)))
+    counted = cut_lineage(_count(texts, first))
+    shares, n_lines = np.zeros(len(CHAINS)), 0
+    for r in counted.where(F.col("kind") >= _CHAIN).collect():  # a row a chain
+        if r.kind == _CHAIN:
+            shares[int(r.word)] = r.n
+        else:
+            n_lines = r.n
+    prior = np.log((shares + 0.2) / (shares.sum() + 0.2 * len(shares))).astype(np.float32)
+    of = counted.where(F.col("kind") <= _HELD)
+    trial = sc.broadcast((_train(of.where(F.col("kind") == _TRAIN)), prior))
+    model = _train(of.groupBy("word").agg(F.sum("n").alias("n")))
+    model.margin, model.clean_errors, model.garbled_errors = _margin(counted.where(F.col("kind") == _LINE), trial, min(0.5, max(1e-4, shares.sum() / max(n_lines, 1))))
     return model, prior
 
 
-def _without(words: DataFrame, shared, cut: float) -> DataFrame:
-    """The words whose best chain's gain, with its prior, is at most ``cut``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(shared)
-        for batch in batches:
-            names = batch.column(0).to_pylist()
-            keep = []
-            for lo in range(0, len(names), 4096):
-                scorer.prepare(names[lo : lo + 4096])
-                keep += [scorer.line([w])[0] <= cut for w in names[lo : lo + 4096]]
-            yield batch.filter(pa.array(keep, pa.bool_()))
-
-    return words.select("word", "n").mapInArrow(run, "word string, n bigint")
-
-
 def _restore_word(scorer: Scorer, word: str, chain: tuple[str, ...]) -> tuple[str, bool]:
+    if chain == LOST:
+        return word, REPLACEMENT not in word
     if chain[-1] == "with losses":
         found = scorer.losses.originals([(word, _LOST_CHAINS.index(chain))])[0]
         if found is None:
@@ -762,14 +785,13 @@ def _judge(scorer: Scorer, text: str, lines: list[list[str]], scores: list[tuple
         if score > margin:
             found[chain] = found.get(chain, 0) + 1
             high = max(high, score)
-    lost = REPLACEMENT in text
-    if not found and not lost:
+    if not found:
         return None
-    main = max(found, key=lambda c: (found[c], -c)) if found else -1
-    name = ">".join(CHAINS[main]) if found else "lost"
+    main = max(found, key=lambda c: (found[c], -c))
+    name = ">".join(CHAINS[main])
     if not restore:
         return sum(found.values()), name, high, None, False
-    whole, out, at = not lost, [], 0
+    whole, out, at = REPLACEMENT not in text, [], 0
     most = 2 * found.get(main, 0) >= len(lines)
     for line in text.split("\n"):
         if line.isascii():
@@ -779,7 +801,7 @@ def _judge(scorer: Scorer, text: str, lines: list[list[str]], scores: list[tuple
         at += 1
         if score <= margin:
             # in a text that is garbled for the most part, a line that doesn't speak against it follows
-            if not (found and most):
+            if not most:
                 out.append(line)
                 continue
             scorer.prepare(words)
@@ -798,8 +820,8 @@ def _judge(scorer: Scorer, text: str, lines: list[list[str]], scores: list[tuple
 def find_garbled(documents: DataFrame, doc_id: str, text: str, restore: bool = True, trained: tuple[Model, np.ndarray] | None = None) -> DataFrame:
     """The records with garbled passages: ``<doc_id>, n_lines, chain, score, restored, whole``.
 
-    chain is the encode-decode chain of most of the garbled lines (``lost`` where only replacement
-    characters tell of a wrong decoding); restored is the text with its garbled lines put right as
+    chain is the encode-decode chain of most of the garbled lines (``lost`` where a reader put
+    replacement characters for the bytes); restored is the text with its garbled lines put right as
     far as that is possible (null without ``restore``), whole tells whether everything was.  Null,
     empty and pure ASCII texts have no garbled passage.  Texts are read whole; repeated rows are
     judged one by one; a table of few records gives a model of few words, and finds less.

@@ -107,3 +107,63 @@ def test_words_with_many_lost_letters_get_their_likeliest_original(chain):
             assert abs(scorer.model.scores([got])[0] - M._mixed(codes, starts)[0] - best) < 1e-3
             checked += 1
     assert lost >= 10 and checked >= 10 and right > lost
+
+
+def test_frequent_garbling_and_rare_signs_are_told_apart(spark):
+    """A garbled word that occurs often isn't clean for that, and a rare sign isn't garbled because a common one has its byte."""
+    rng = random.Random(4)
+    rows, truth = [], set()
+    for i in range(3000):
+        lang = rng.choice(["fr", "ru"])
+        lines = [rng.choice(LINES[lang]) for _ in range(5)]
+        if lang == "fr" and i % 3 == 0:
+            lines.append("Prends « ½ » tasse « ici »" if i % 9 == 0 else "« Oui » « non »")
+        if lang == "ru":
+            lines.append("[колокол]")
+        if i % 25 == 5:
+            chain = ("cp1252", "cp1251") if lang == "ru" else ("cp1252", "utf_8")
+            lines = [M.garble(x, chain) for x in lines]
+            truth.add(i)
+        elif i % 25 == 6 and lang == "fr":
+            lines.append(M.garble("Une crème", ("cp1252", "utf_8")))
+            truth.add(i)
+        elif i % 40 == 7:
+            lines[0] = "п»ї1"
+            truth.add(i)
+        elif i % 10 == 8:
+            lines[0] = "\ufeff1"
+        rows.append((i, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in M.find_garbled(df, "doc_id", "text", restore=False).collect()} == truth
+
+
+def test_margin_has_the_fewest_errors():
+    table = np.zeros((2, len(M._BINS) + 1))
+    at = lambda x: int(np.searchsorted(M._BINS, x))
+    table[0, at(-1.0)], table[0, at(4.1)] = 990, 10
+    table[1, at(2.1)], table[1, at(30.0)] = 1, 99
+    margin, clean, garbled = M._least_errors(table, 0.01)
+    assert 4.1 <= margin < 30 and clean == pytest.approx(0) and garbled == pytest.approx(0.01)
+    margin, clean, garbled = M._least_errors(table, 0.99)
+    assert -1 <= margin < 2.1 and clean == pytest.approx(0.01) and garbled == 0
+    assert M._least_errors(table * [[1], [0]], 0.5) == (M.Model.margin, 0.0, 0.0)
+
+
+def test_prefilters_lose_nothing_that_counts():
+    """Chains that ``gains`` doesn't try, tried one by one: none of them is the likeliest of a word that is likelier for it."""
+    model, words = _model([x for lang in LINES for x in LINES[lang]])
+    chains = [c for lang in CHAINS for c in CHAINS[lang]]
+    some = {w for w in words if not w.isascii()}
+    some |= {g for w in some for c in chains if (g := M.garble(w, c)) is not None and not g.isascii()}
+    some = sorted(some)
+    table = M.gains(model, some)
+    codes, starts = M._codes(some)
+    own = model.scores(some) - M._mixed(codes, starts)
+    lost = 0
+    for i, w in enumerate(some):
+        made = [f for c in M.CHAINS[: len(M.SINGLES) + len(M.MULTIS)] if (f := M.apply_chain(w, c)) is not None and f != w]
+        if made:
+            codes, starts = M._codes(made)
+            best = (model.scores(made) - M._mixed(codes, starts)).max() - own[i]
+            lost += best > max(float(table[i].max()), 0.0) + 0.01
+    assert lost <= 0.005 * len(some)
