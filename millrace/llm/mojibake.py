@@ -594,7 +594,7 @@ class Scorer:
 #: Gain of a line, or of a record's lines along one chain, under the first model from which on the record isn't clean.
 CLEAN_CUT = 12.0
 #: Records kept out of the trial model to choose the margin: one in so many, by a hash of the text.
-HELD_OUT = 10
+HELD_OUT = 25
 #: Chains that held-out lines are garbled along: the commonest, and for each line so many of them.
 COMMON, TRIALS = 24, 2
 _BINS = np.arange(-12.0, 80.25, 0.25)
@@ -738,7 +738,7 @@ def train(documents: DataFrame, text: str) -> tuple[Model, np.ndarray]:
     """The model of the table's clean records, with its margin, and the chains' log shares among garbled lines.
 
     Two passes over all texts count words: of all records, for the first model, and of those that
-    are clean under it.  A tenth of the clean records is held out
+    are clean under it.  One in HELD_OUT of the clean records is held out
     once, to choose the margin on their lines.  What the driver gets are n-gram tables of fixed size.
     """
     sc = documents.sparkSession.sparkContext
