@@ -34,7 +34,7 @@ TABLE_PARTS, FIT_PARTS = 6, 3
 SHRINK = (0.003, 0.03, 0.3)
 #: Hashed token features of the classifier.
 FEATURES = 4096
-#: Steps end when the tokens of every source that could still move are this near to what is wanted, as a share of all.
+#: Steps end when the tokens of every source that could still move are this near to what is wanted, as a share of all, or move by less than a quarter of it.
 TOLERANCE = 1e-4
 #: Targets and sources are collected; there may be no more than this.
 MAX_SOURCES = 1000
@@ -81,9 +81,20 @@ class Classifier:
     #: ``rows, accuracy, majority, log_loss, prior_log_loss, calibration_error`` on held-out labelled rows.
     report: dict[str, float] = field(default_factory=dict)
 
-    def inputs(self, text: str | None, ids: np.ndarray) -> np.ndarray:
-        score = self.log_likelihood[ids % FEATURES].sum(axis=0) / np.sqrt(len(ids)) if len(ids) else np.zeros(len(self.sources))
-        return np.concatenate([score - score.mean() if len(score) else score, _surface(text, len(ids))])
+    def inputs(self, texts: list[str | None], ids: list[np.ndarray]) -> np.ndarray:
+        """What the regression gets of each text and its tokens, a row a text."""
+        out = [np.zeros((0, len(self.sources) + len(_SIGNS) + 3))]
+        for lo in range(0, len(texts), 256):
+            part = ids[lo : lo + 256]
+            sizes = np.array([len(x) for x in part])
+            score = np.zeros((len(part), len(self.sources)))
+            if sizes.any():
+                filled = np.flatnonzero(sizes)
+                each = self.log_likelihood[np.concatenate(part) % FEATURES]
+                score[filled] = np.add.reduceat(each, (np.cumsum(sizes) - sizes)[filled], axis=0) / np.sqrt(sizes[filled])[:, None]
+            surface = [_surface(t, int(n)) for t, n in zip(texts[lo : lo + 256], sizes, strict=True)]
+            out.append(np.hstack([score - score.mean(axis=1, keepdims=True), surface]))
+        return np.vstack(out)
 
     def posteriors(self, inputs: np.ndarray) -> np.ndarray:
         """A row a record."""
@@ -179,15 +190,16 @@ def train(documents: DataFrame, text: str, source: str, path: str = TOKENIZER, r
     common = (table.sum(axis=0) + 0.5) / (table.sum() + 0.5 * FEATURES)
     smooth = table + 0.2 * FEATURES * common
     prior = np.array([next(r.n for r in counts if r.s == s) for s in sources], float)
-    model = Classifier(sources, np.log(prior / prior.sum()) if total else prior, np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T))
+    model = Classifier(sources, np.log(prior / prior.sum()) if total else prior, np.ascontiguousarray(np.log(smooth / smooth.sum(axis=1, keepdims=True)).T, np.float32))
     if len(sources) < 2:
         return model
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [shared.value.inputs(t, _ids(t, path)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(got, pa.list_(pa.float64()))], names=["s", "part", "x"])
+            texts = batch.column(1).to_pylist()
+            got = shared.value.inputs(texts, [_ids(t, path) for t in texts])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(got), pa.list_(pa.float64()))], names=["s", "part", "x"])
 
     rest = chosen.where(part >= TABLE_PARTS).select(F.col(source).cast("string"), text, part.alias("part"))
     seen = rest.mapInArrow(look, "s string, part bigint, x array<double>").toPandas()  # at most about ``rows`` rows
@@ -208,10 +220,9 @@ def sized(documents: DataFrame, doc_id: str, text: str, source: str, model: Clas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            ids = [_ids(t, path) for t in batch.column(2).to_pylist()]
-            soft = None
-            if model.sources and ids:
-                soft = list(model.posteriors(np.vstack([model.inputs(t, i) for t, i in zip(batch.column(2).to_pylist(), ids, strict=True)])))
+            texts = batch.column(2).to_pylist()
+            ids = [_ids(t, path) for t in texts]
+            soft = list(model.posteriors(model.inputs(texts, ids))) if model.sources else None
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([len(i) for i in ids], pa.int64()), pa.array(soft if soft is not None else [None] * len(ids), pa.list_(pa.float64()))],
                 names=["id", "source", "n_tokens", "posterior"],
@@ -270,7 +281,7 @@ def mix(
     n_uses, n_tokens, most_times, n_steps, converged``: expected_share counts labelled tokens and the
     soft mass of unlabelled ones, labelled_share the first alone, posterior_share what the classifier
     would say of all that is selected.  converged says whether the steps ended because no source that
-    could still move was off by more than TOLERANCE, or the objective no longer fell.
+    could still move was off by more than TOLERANCE, or none moved any more.
 
     ``total`` is the number of tokens wanted; by default the most with which every source that has
     records can meet its share.  Sources without a target, and records without tokens, are used 0
@@ -319,15 +330,16 @@ def mix(
     wished = goal > 0
     size = total if total is not None else (float((room[wished] / goal[wished]).min()) if wished.any() else 0.0)
     metric = np.where(room > 0, room / np.maximum(cap, 1), 1.0)
-    last, converged, used = np.inf, size <= 0, np.zeros(len(domains))
+    near = TOLERANCE * min(size, float(room.sum()))
+    converged, used, before = size <= 0, np.zeros(len(domains)), None
     for _ in range(iterations if size > 0 else 0):
         residual = used - size * goal
-        miss = float((residual**2 / metric).sum())
-        stuck = np.where(residual > 0, used <= 0, used >= room - TOLERANCE * size)
-        if np.abs(np.where(stuck, 0.0, residual)).max() <= TOLERANCE * size or miss > (1 - 1e-4) * last:
+        stuck = np.where(residual > 0, used <= 0, used >= room - near)
+        still = before is not None and np.abs(used - before).max() <= near / 4
+        if still or np.abs(np.where(stuck, 0.0, residual)).max() <= near:
             converged = True
             break
-        last = miss
+        before = used
         problem.steps.append(residual / metric)
         used = sums(problem, False)
 

@@ -47,11 +47,11 @@ def test_classifier_on_held_out_rows(documents):
     rows = [r for r in documents.collect() if r.text and r.source is None]
     model = M.train(documents, "text", "source")
     order = [s for s, many in (("news", 300), ("songs", 120), ("code", 20), ("rest", 40)) for _ in range(many)]
-    got = model.posteriors(np.vstack([model.inputs(r.text, M._ids(r.text, M.TOKENIZER)) for r in rows]))
+    got = model.posteriors(model.inputs([r.text for r in rows], [M._ids(r.text, M.TOKENIZER) for r in rows]))
     right = [model.sources[int(p.argmax())] == order[r.doc_id - 1] for p, r in zip(got, rows)]
     assert sum(right) / len(right) > 0.95
     assert model.report["accuracy"] > 0.9 > model.report["majority"] and model.report["log_loss"] < model.report["prior_log_loss"]
-    p = model.posteriors(np.vstack([model.inputs(None, M._ids(None, M.TOKENIZER))]))
+    p = model.posteriors(model.inputs([None], [M._ids(None, M.TOKENIZER)]))
     assert p.sum() == pytest.approx(1) and (p >= 0).all()
 
 
@@ -59,7 +59,7 @@ def test_posteriors_fall_back_on_shares_where_texts_tell_nothing(spark):
     rng = np.random.default_rng(2)
     rows = [(i, " ".join(rng.choice(WORDS["news"].split(), 20)), "big" if i % 4 else "small") for i in range(1200)]
     model = M.train(spark.createDataFrame(rows, "doc_id long, text string, source string"), "text", "source")
-    p = model.posteriors(np.vstack([model.inputs(t, M._ids(t, M.TOKENIZER)) for _, t, _ in rows[:200]]))
+    p = model.posteriors(model.inputs([t for _, t, _ in rows[:200]], [M._ids(t, M.TOKENIZER) for _, t, _ in rows[:200]]))
     assert abs(p[:, model.sources.index("big")].mean() - 0.75) < 0.05 and model.report["accuracy"] >= model.report["majority"] - 0.02
     assert model.report["calibration_error"] < 0.1
 
