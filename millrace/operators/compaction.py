@@ -1,12 +1,16 @@
 """Many tiny files joined into few well-sized ones, byte by byte.
 
 Contents are never parsed: newline-delimited files are joined at line boundaries, with the header of
-all but the first left out, and complete zstandard frames are joined as they are.  Every container
-is checked by its length, line count and checksum against what went into it.
+all but the first left out, and complete zstandard frames are joined as they are.  Files that lie in
+a table become such frames first, where their lines are; what moves to a container are the frames.
+Every container is read again, and checked by its lengths, line count and checksums against what
+went into it.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator, Sequence
 
@@ -21,8 +25,11 @@ from millrace.session import cut_lineage
 SMALL_BYTES = 2048
 TARGET_BYTES = 128 << 20
 _CHUNK = 4 << 20
+#: A file's lines become frames of about so many bytes: a batch of frames stays small enough for a worker.
+_FRAME = 64 << 10
 _ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
-_MANIFEST = "container string, path string, n_files bigint, n_lines bigint, n_bytes bigint, line_crc_sum bigint, content_crc bigint"
+_MANIFEST = "container string, path string, n_files bigint, n_lines bigint, n_bytes bigint, stored_bytes bigint, line_crc_sum bigint, content_crc bigint"
+_FRAMES = "container string, file_id bigint, seq bigint, header_line string, n_lines bigint, body bigint, line_crc_sum bigint, frame binary"
 #: A row a file of a container, before the container's own row.
 _PARTS = _MANIFEST + ", stored bigint, file_id bigint, file_lines bigint, file_body bigint, file_head bigint"
 
@@ -100,67 +107,100 @@ def _stored(filesystem: pafs.FileSystem, path: str, pieces: Sequence[tuple[int,
         return not source.read(1)
 
 
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "binary": pa.binary()}
+    columns = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[kind]) for i, (_, kind) in enumerate(columns)], names=[c for c, _ in columns])
+
+
+def _framer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in the order of container, file and number as complete zstandard frames, none over two files; a file without lines is a row without a frame."""
+    now = None
+    lines: list[bytes] = []
+    size = seq = held = 0
+    rows: list[tuple] = []
+
+    def close() -> None:
+        nonlocal size, seq, held
+        data = b"".join(lines)
+        frame = pa.compress(data, codec="zstd", asbytes=True) if lines else None
+        rows.append((now[0], now[1], seq, now[2], len(lines), size, sum(zlib.crc32(memoryview(x)[:-1]) for x in lines), frame))
+        held += len(frame or b"")
+        lines.clear()
+        size, seq = 0, seq + 1
+
+    for batch in batches:
+        for container, file_id, line_no, header, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if now is None or (container, file_id) != now[:2]:
+                if now is not None and (lines or seq == 0):
+                    close()
+                now, seq = (container, file_id, header), 0
+            if line_no is not None or line is not None:
+                lines.append((line or "").encode() + b"\n")
+                size += len(lines[-1])
+                if size >= _FRAME:
+                    close()
+        if len(rows) > 10_000 or held > 4 * _CHUNK:
+            yield _batch(rows, _FRAMES)
+            rows, held = [], 0
+    if now is not None and (lines or seq == 0):
+        close()
+    yield _batch(rows, _FRAMES)
+
+
 def _writer(out_dir: str, write: bool):
+    """Joins frames, which come in the order of container, file and number; a row a file and then one for the container."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         target, root = pafs.FileSystem.from_uri(out_dir) if write else (None, "")
         now: dict = {}
-        sink = None
         parts: list[list] = []
 
+        def put(data: bytes) -> None:
+            now["crc"] = zlib.crc32(data, now["crc"])
+            now["length"] += len(data)
+            if write:
+                now["sink"].write(data)
+
         def close() -> pa.RecordBatch:
-            nonlocal sink
             stored = None
-            if sink is not None:
-                sink.close()
-                sink = None
-                stored = int(_stored(target, now["temp"], [(now["bytes"], now["crc"])]))
+            if write:
+                now["sink"].close()
+                stored = int(_stored(target, now["temp"], [(now["length"], now["crc"])]))
                 target.move(now["temp"], now["path"])  # a repeated task replaces the file by an equal one
-            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["sum"], now["crc"], stored, None, None, None, None]
-            return batch_of([*parts, row])
-
-        def batch_of(rows: list[list]) -> pa.RecordBatch:
-            columns = [c.split() for c in _PARTS.split(", ")]
-            arrays = [pa.array([r[i] for r in rows], pa.string() if kind == "string" else pa.int64()) for i, (_, kind) in enumerate(columns)]
-            return pa.RecordBatch.from_arrays(arrays, names=[c for c, _ in columns])
+            row = [now["container"], now["path"], now["files"], now["lines"], now["bytes"], now["length"], now["sum"], now["crc"], stored, None, None, None, None]
+            return _batch([*parts, row], _PARTS)
 
         for batch in batches:
-            buffer = []
-            for container, file_id, line_no, header, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for container, file_id, _, header, n_lines, body, crc_sum, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head = b"" if header is None else header.encode() + b"\n"
                 if container != now.get("container"):
                     if now:
-                        if sink is not None and buffer:
-                            sink.write(b"".join(buffer))
-                        buffer = []
                         yield close()
                         parts = []
-                    now = {"container": container, "files": 0, "last": None, "lines": 0, "bytes": 0, "sum": 0, "crc": 0, "path": None}
+                    now = {"container": container, "path": None, "files": 0, "last": None, "lines": 0, "bytes": len(head), "length": 0, "sum": 0, "crc": 0}
                     if write:
-                        now["path"] = f"{root}/{container}.csv"
-                        now["temp"] = f"{root}/.{container}.{zlib.crc32(str(id(now)).encode()):08x}.tmp"
+                        now["path"] = f"{root}/{container}.csv.zst"
+                        # attempts at one container, at the same time or one after another, never share a name
+                        now["temp"] = f"{root}/.{container}.{uuid.uuid4().hex}.tmp"
                         target.create_dir(root, recursive=True)
-                        sink = target.open_output_stream(now["temp"])
-                    if header is not None:
-                        data = header.encode() + b"\n"
-                        now["crc"], now["bytes"] = zlib.crc32(data), len(data)
-                        buffer.append(data)
-                if file_id != now["last"]:
-                    now["last"], now["files"] = file_id, now["files"] + 1
+                        now["sink"] = target.open_output_stream(now["temp"], compression=None)
+                    if head:
+                        put(pa.compress(head, codec="zstd", asbytes=True))
+                if file_id != now["last"] or not parts:
+                    if file_id != now["last"]:
+                        now["last"], now["files"] = file_id, now["files"] + 1
                     if len(parts) >= 10_000:
-                        yield batch_of(parts)
+                        yield _batch(parts, _PARTS)
                         parts = []
-                    parts.append([now["container"], *[None] * 7, file_id, 0, 0, 0 if header is None else len(header.encode()) + 1])
-                if line_no is not None or line is not None:
-                    body = (line or "").encode()
-                    data = body + b"\n"
-                    now["lines"] += 1
-                    now["bytes"] += len(data)
-                    parts[-1][9] += 1
-                    parts[-1][10] += len(data)
-                    now["sum"] += zlib.crc32(body)
-                    now["crc"] = zlib.crc32(data, now["crc"])
-                    buffer.append(data)
-            if sink is not None and buffer:
-                sink.write(b"".join(buffer))
+                    parts.append([container, *[None] * 8, file_id, 0, 0, len(head)])
+                now["lines"] += n_lines
+                now["bytes"] += body
+                now["sum"] += crc_sum
+                parts[-1][10] += n_lines
+                parts[-1][11] += body
+                if frame is not None:
+                    put(frame)
         if now:
             yield close()
 
@@ -170,43 +210,87 @@ def _writer(out_dir: str, write: bool):
 def compact_lines(planned: DataFrame, lines: DataFrame, out_dir: str | None = None) -> DataFrame:
     """Joins the planned files' lines into their containers and returns one checked manifest row each.
 
-    Columns: ``container, path, n_files, n_lines, n_bytes, line_crc_sum, content_crc`` as joined,
-    ``want_lines, want_bytes, want_crc_sum`` as planned (for a cut file: of all its pieces), and
-    ``valid``, whether what was joined and what was planned agree, and what is stored has the length and checksum of what was joined.  With
-    ``out_dir`` the bytes are written there (any file system pyarrow knows), each container under a
-    temporary name until it is whole.  Within a container files come in the order of file_id, lines
-    in that of line_no; each line is written exactly as often as it occurs.  A file without lines
-    adds none.
+    Columns: ``container, path, n_files, n_lines, n_bytes, line_crc_sum`` of what was joined,
+    ``stored_bytes, content_crc`` of the frames, ``want_lines, want_bytes, want_crc_sum`` as planned
+    (for a cut file: of all its pieces), and ``valid``, whether what was joined and what was planned
+    agree, and what is stored, read again, has the length and checksum of the frames.  With
+    ``out_dir`` the containers are written there (any file system pyarrow knows) when this is called,
+    each under a temporary name until it is whole.  Within a container files come in the order of
+    file_id, lines in that of line_no; each line is written exactly as often as it occurs.  A file
+    without lines adds none.
     """
-    return _checked(planned, _joined(planned, lines, out_dir).where("file_id is null"))
+    made = _joined(planned, lines, out_dir)
+    # written once, whatever is done with the manifest
+    return _checked(planned, (cut_lineage(made) if out_dir is not None else made).where("file_id is null"))
 
 
-def compact_measured(planned: DataFrame, lines: DataFrame, out_dir: str | None = None) -> DataFrame:
+def compact_measured(planned: DataFrame, lines: DataFrame, out_dir: str | None = None, keep: bool = True) -> DataFrame:
     """``compact_lines``, but a row a file: ``file_id, n_lines, true_bytes`` as they were counted while it was joined.
 
-    true_bytes is as in ``measure``.  A container that isn't valid is an error, so that no file is left out.
+    true_bytes is as in ``measure``.  A container that isn't valid is an error, so that no file is
+    left out.  Without ``keep`` the containers are removed once they are checked.
     """
     made = cut_lineage(_joined(planned, lines, out_dir))  # a row a file and container: joined once
     bad = _checked(planned, made.where("file_id is null")).where(~F.col("valid")).select("container").limit(5).collect()
     if bad:
         raise ValueError(f"containers that don't hold what was planned: {', '.join(r.container for r in bad)}")
+    if out_dir is not None and not keep:
+        filesystem, root = pafs.FileSystem.from_uri(out_dir)
+        if filesystem.get_file_info(root).type == pafs.FileType.Directory:
+            filesystem.delete_dir(root)
     bytes_ = (F.sum("file_body") + F.max("file_head")).alias("true_bytes")
     return made.where("file_id is not null").groupBy("file_id").agg(F.sum("file_lines").alias("n_lines"), bytes_)
 
 
+def frames(planned: DataFrame, lines: DataFrame) -> DataFrame:
+    """``_FRAMES``: the planned files' lines as complete zstandard frames, made where a join by file brings the lines together."""
+    part = planned.select("container", "file_id", "header_line", "pieces", "n_lines")
+    text = lines.select("file_id", "line_no", "line_text")
+    columns = ["container", "file_id", "line_no", "header_line", "line_text"]
+    whole = part.where("pieces = 1").join(text, "file_id", "left").select(*columns)
+    # a file that alone fills containers is dealt to tasks by its pieces
+    cut = part.where("pieces > 1").join(text, "file_id", "left")
+    piece = F.floor((F.coalesce("line_no", F.lit(1)) - 1) * F.col("pieces") / F.greatest("n_lines", F.lit(1)))
+    cut = cut.withColumn("container", F.concat("container", F.lit("-"), F.pmod(piece, F.col("pieces")).cast("string"))).select(*columns).repartition("container")
+    order = ["container", "file_id", "line_no"]
+    return whole.sortWithinPartitions(*order).mapInArrow(_framer, _FRAMES).unionByName(cut.sortWithinPartitions(*order).mapInArrow(_framer, _FRAMES))
+
+
 def _joined(planned: DataFrame, lines: DataFrame, out_dir: str | None) -> DataFrame:
     """``_PARTS`` of the containers as they are joined; the files' rows have no path."""
-    part = planned.select("container", "file_id", "header_line", "pieces", "n_lines")
-    rows = part.join(lines.select("file_id", "line_no", "line_text"), "file_id", "left")
-    share = F.floor((F.coalesce("line_no", F.lit(1)) - 1) * F.col("pieces") / F.greatest("n_lines", F.lit(1)))
-    piece = F.concat_ws("-", F.lit(""), F.pmod(share, F.col("pieces")).cast("string"))
-    rows = rows.withColumn("container", F.when(F.col("pieces") > 1, F.concat("container", piece)).otherwise(F.col("container")))
-    spark = planned.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.select("container", "file_id", "line_no", "header_line", "line_text").repartition(n, "container").sortWithinPartitions("container", "file_id", "line_no")
+    n = int(planned.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = frames(planned, lines).repartition(n, "container").sortWithinPartitions("container", "file_id", "seq")
     return placed.mapInArrow(_writer(out_dir or "", out_dir is not None), _PARTS)
 
 
+def stored_sums(manifest: DataFrame) -> DataFrame:
+    """``container, n_lines, n_bytes, line_sum`` of the stored containers, read again and unpacked.
+
+    Lines end at line breaks, a container's header (``has_header``) doesn't count; line_sum adds up
+    the first 32 bits of the lines' MD5.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for container, path, has_header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = size = total = 0
+                rest, first = b"", has_header
+                filesystem, at = pafs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+                with filesystem.open_input_stream(at, compression="zstd") as source:
+                    while data := source.read(_CHUNK):
+                        *lines, rest = (rest + data).split(b"\n")
+                        if first and lines:
+                            lines, first = lines[1:], False
+                        n += len(lines)
+                        size += sum(map(len, lines)) + len(lines)
+                        total += sum(int.from_bytes(hashlib.md5(x).digest()[:4], "big") for x in lines)
+                rows.append((container, n, size, total))
+            yield _batch(rows, "container string, n_lines bigint, n_bytes bigint, line_sum bigint")
+
+    return manifest.select("container", "path", "has_header").mapInArrow(run, "container string, n_lines bigint, n_bytes bigint, line_sum bigint")
+
+
 def _checked(planned: DataFrame, made: DataFrame) -> DataFrame:
     # what a plan's container holds is compared with what all its pieces hold; each piece repeats the header
     base = F.regexp_replace("container", r"^(whole-[^-]*)-[0-9]+$", "$1")
@@ -222,7 +306,7 @@ def _checked(planned: DataFrame, made: DataFrame) -> DataFrame:
     same = F.col("got_stored") == 1
     for a, b in (("got_files", "want_files"), ("got_lines", "want_lines"), ("got_bytes", "want_bytes"), ("got_sum", "want_crc_sum")):
         same = same & (F.col(a) == F.col(b))
-    names = ["path", "n_files", "n_lines", "n_bytes", "line_crc_sum", "content_crc", "want_lines", "want_bytes", "want_crc_sum"]
+    names = ["path", "n_files", "n_lines", "n_bytes", "stored_bytes", "line_crc_sum", "content_crc", "want_lines", "want_bytes", "want_crc_sum"]
     return checked.select(F.coalesce("container", "_c").alias("container"), *names, F.coalesce(same, F.lit(False)).alias("valid"))
 
 
@@ -337,8 +421,9 @@ def compact_paths(spark: SparkSession, paths: Sequence[str] | str, out_dir: str,
         source = [pafs.FileSystem.from_uri(p if "://" in p else p.replace("file:", "file://", 1))[1] for p in sorted(pdf["path"])]
         filesystem.create_dir(root, recursive=True)
         final = f"{root}/{key[0]}"
-        read, written, adjusted, pieces = _join_files(filesystem, source, final + ".tmp", header_lines)
-        filesystem.move(final + ".tmp", final)
+        temp = f"{root}/.{key[0]}.{uuid.uuid4().hex}.tmp"
+        read, written, adjusted, pieces = _join_files(filesystem, source, temp, header_lines)
+        filesystem.move(temp, final)
         stored = filesystem.get_file_info(final).size
         valid = stored == written == read + adjusted and read == int(pdf["length"].sum()) and _stored(filesystem, final, pieces)
         return pd.DataFrame([(key[0], len(pdf), read, stored, adjusted, valid)], columns=["container", "n_files", "bytes_in", "bytes_out", "bytes_adjusted", "valid"])

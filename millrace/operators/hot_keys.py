@@ -116,33 +116,42 @@ def _encode_splits(fields: Sequence[str], n_blocks: int, has_value: bool):
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the array blocks of one partition of the key space: one dictionary a block, arrays scatter-added."""
-    code: dict[tuple[str, str | None], int] = {}
-    rows, values, total = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.float64)
+    """Adds array blocks, which come in the order of field and block: one dictionary a block, arrays scatter-added.
+
+    A worker holds one block of the key space at a time, however many its partition has.
+    """
+    code: dict[str | None, int] = {}
+    sums = [np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.float64)]
+    now: tuple[str, int] | None = None
+
+    def out() -> Iterator[pa.RecordBatch]:
+        names = list(code)
+        for lo in range(0, len(names), 50_000):
+            part = names[lo : lo + 50_000]
+            columns = [pa.array([now[0]] * len(part), pa.string()), pa.array(part, pa.string()), *(pa.array(x[lo : lo + len(part)]) for x in sums)]
+            yield pa.RecordBatch.from_arrays(columns, names=["field_name", "key_value", "n_rows", "n_values", "total"])
+
     for batch in batches:
-        for field, keys, r, v, t in zip(
-            batch.column(0).to_pylist(), batch.column(2), batch.column(3), batch.column(4), batch.column(5), strict=True
-        ):
-            at = np.fromiter((code.setdefault((field, k), len(code)) for k in keys.as_py()), np.int64, len(keys))
-            while len(code) > len(rows):
-                rows, values, total = (np.concatenate([x, np.zeros_like(x)]) for x in (rows, values, total))
-            np.add.at(rows, at, r.values.to_numpy())
-            np.add.at(values, at, v.values.to_numpy())
-            np.add.at(total, at, t.values.to_numpy())
-    names = list(code)
-    for lo in range(0, len(names), 50_000):
-        part = names[lo : lo + 50_000]
-        hi = lo + len(part)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([f for f, _ in part], pa.string()),
-                pa.array([k for _, k in part], pa.string()),
-                pa.array(rows[lo:hi]),
-                pa.array(values[lo:hi]),
-                pa.array(total[lo:hi]),
-            ],
-            names=["field_name", "key_value", "n_rows", "n_values", "total"],
-        )
+        for field, block, keys, *parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *batch.columns[2:], strict=True):
+            if (field, block) != now:
+                if code:
+                    yield from out()
+                code, now = {}, (field, block)
+                for x in sums:
+                    x[:] = 0
+            at = np.fromiter((code.setdefault(k, len(code)) for k in keys.as_py()), np.int64, len(keys))
+            while len(code) > len(sums[0]):
+                sums = [np.concatenate([x, np.zeros_like(x)]) for x in sums]
+            for x, part in zip(sums, parts, strict=True):
+                np.add.at(x, at, part.values.to_numpy())
+    if code:
+        yield from out()
+
+
+def _blocks(df: DataFrame, partitions: int) -> int:
+    """Blocks of the key space: four a partition, more where the planner expects more than 64 MB of input for each."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return partitions * min(256, max(4, -(-size // (partitions * (64 << 20)))))
 
 
 def key_totals(df: DataFrame, keys: Sequence[str], value: str | None = None, blocks: int | None = None) -> DataFrame:
@@ -151,19 +160,21 @@ def key_totals(df: DataFrame, keys: Sequence[str], value: str | None = None, blo
     Returns ``field_name, key_value, n_rows, n_values, total``.  Null, blank and empty keys of a field
     share the row whose key_value is null.  Null and NaN values count as rows but not as values; a key
     without usable values has total 0.0.  Repeated rows count as often as they occur; an empty table
-    gives no rows; other columns of ``df`` are not read.  ``blocks`` (default: four a shuffle
-    partition) is the number of pieces the key space is reduced in.
+    gives no rows; other columns of ``df`` are not read.  ``blocks`` (default: see ``_blocks``) is the
+    number of pieces the key space is reduced in; a worker holds one at a time.
     """
     if not keys:
         raise ValueError("key_totals needs at least one key column")
     spark = df.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_blocks = blocks or 4 * partitions
     columns = [qcol(k).cast("string").alias(f"k{i}") for i, k in enumerate(keys)]
     if value is not None:
         columns.append(qcol(value).cast("double").alias("v"))
-    encoded = df.select(*columns).mapInArrow(_encode_splits(list(keys), n_blocks, value is not None), _BLOCK_TYPE)
-    return encoded.repartition(partitions, "field_name", "block").mapInArrow(_sum_blocks, _TOTAL_TYPE)
+    chosen = df.select(*columns)
+    n_blocks = blocks or _blocks(chosen, partitions)
+    encoded = chosen.mapInArrow(_encode_splits(list(keys), n_blocks, value is not None), _BLOCK_TYPE)
+    placed = encoded.repartition(partitions, "field_name", "block").sortWithinPartitions("field_name", "block")
+    return placed.mapInArrow(_sum_blocks, _TOTAL_TYPE)
 
 
 def hot_keys(totals: DataFrame, share: float = 0.03) -> DataFrame:

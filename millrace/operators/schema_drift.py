@@ -1,9 +1,9 @@
 """Feeds of delimited files whose columns drift: one consistent table, and a report of every change.
 
 Each file's schema is a small tree.  Its columns are tied to the fields of the consistent table by
-the cheapest edit script between the two trees (names outside the list by what their cells are like), the script is compiled into the projection that
-reads the file, and the script between a file's tree and that of the preceding file of its feed is
-the report.
+the cheapest edit script between the two trees; what a rename costs comes from names, and from what
+the column's cells are like.  The script is compiled into the projection that reads the file, and
+the script between a file's tree and that of the preceding file of its feed is the report.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import json
 import math
 import re
 from collections.abc import Iterator, Mapping
+from difflib import SequenceMatcher
 from functools import lru_cache
 
 import pandas as pd
@@ -21,21 +22,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.schema_tree import Node, assign, edit_script
+from millrace.operators.schema_tree import FORBIDDEN, Node, edit_script
 from millrace.session import cut_lineage
 
-#: The consistent table's fields and the names they are known to go by (lower case).
-FIELDS: dict[str, tuple[str, ...]] = {
-    "customer": ("customer", "client", "buyer", "customer name"),
-    "region": ("region", "area", "territory"),
-    "product": ("product", "prod", "item", "article", "ware", "product_name", "sku title"),
-    "amount": ("amount", "amt", "value", "total", "paid", "nettotal", "sale_amount"),
-    "date": ("date", "dt", "day", "sale_date", "soldon", "order date"),
-}
+#: The consistent table's fields, each with the names it is known to go by beforehand (lower case): here its own alone.
+FIELDS: dict[str, tuple[str, ...]] = {f: (f,) for f in ("customer", "region", "product", "amount", "date")}
 #: Files of a feed are folded in blocks of so many numbers, so that no feed, however long, meets in one task.
 BLOCK = 4096
-#: Cost of taking a column of an unlisted name for a field whose cells are all alike; it rises to 1 (no tie) where half of them are.
-TIE = 0.3
+#: Cost of taking a column of an unlisted name for a field whose cells are all alike; it rises to 1 (no tie) where half of them are,
+#: and falls by NEAR where the name is like one of the field's.
+TIE, NEAR = 0.3, 0.4
 
 _TYPES = ("long", "double", "date")
 _LONG = re.compile(r"[+-]?[0-9]+")
@@ -107,7 +103,8 @@ def column_types(files: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 _MONEY = re.compile(r"(?:[A-Z]{3} ?)?([+-]?[0-9][0-9,]*\.?[0-9]*|[+-]?\.[0-9]+)(?: ?[A-Z]{3})?")
-_DAY = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|(?:19|20)[0-9]{2}[01][0-9][0-3][0-9]")
+_DAY = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|(?:19|20)[0-9]{2}[01][0-9][0-3][0-9]|1[0-9]{9}(?:[0-9]{3})?")
+_CODE = re.compile(r"[0-9]{4,9}")
 
 
 def _sign(cell: str) -> str:
@@ -132,11 +129,11 @@ def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tupl
     """``_feed, ties``: for each feed, what it costs to take columns of unlisted names for fields, as JSON of [name, field, cost].
 
     A column is likened by its cells over all files of its feed to the columns that hold a field
-    under a known name: the share of its cells that are dates, numbers of the same size, or texts
-    that the field has too.  One that stands beside the field in a file of its feed is something
+    under a known name: the share of its cells that are dates, numbers (half for those of the same
+    size), or texts that the field has too.  A name that is like one of the field's makes up for a
+    part of what is missing, and decides alone where the column has no cells.  One that stands beside the field in a file of its feed is something
     else; standing beside it in other feeds counts against it by the share of such files.
     """
-    fields = [f for f, _ in known]
     head = files.select("file_id", _feed_key(), "delim", "header_line")
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,13 +142,14 @@ def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tupl
             for feed, delim, header in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 names = tuple(header_names(header, delim))
                 bound = _bind(names, "", known)
-                rows += [(feed, n, f, int(f in bound)) for n, b in zip(names, bound, strict=True) if b is None and n for f in fields]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.string(), pa.int64()))], names=["_feed", "name", "field", "beside"])
+                rows += [(feed, n, f, int(f in bound), _likeness(n, (f, *aliases))) for n, b in zip(names, bound, strict=True) if b is None and n for f, aliases in known]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["_feed", "name", "field", "beside", "near"])
 
-    pairs = head.select("_feed", "delim", "header_line").mapInArrow(beside, "_feed string, name string, field string, beside bigint")
-    pairs = cut_lineage(pairs.groupBy("_feed", "name", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("beside").alias("beside")))
+    pairs = head.select("_feed", "delim", "header_line").mapInArrow(beside, "_feed string, name string, field string, beside bigint, near double")
+    pairs = cut_lineage(pairs.groupBy("_feed", "name", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("beside").alias("beside"), F.max("near").alias("near")))
     elsewhere = pairs.groupBy("name", "field").agg((F.sum("beside") / F.sum("n")).alias("against"))
-    open_ = pairs.where("beside = 0").join(elsewhere, ["name", "field"]).select("_feed", "name", "field", "against")
+    open_ = pairs.where("beside = 0").join(elsewhere, ["name", "field"]).select("_feed", "name", "field", "against", "near")
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> pa.RecordBatch:
@@ -165,8 +163,10 @@ def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tupl
                 owners = _owners(feed, header, delim, known)
                 for owner, cell in zip(owners, split_line(line, delim or ",")):
                     if cell:
-                        key = (*owner, _sign(cell))
-                        counts[key] = counts.get(key, 0) + 1
+                        sign = _sign(cell)
+                        counts[*owner, sign] = counts.get((*owner, sign), 0) + 1
+                        if sign[0] == "N" and _CODE.fullmatch(cell):  # may be a code: told by its digits too
+                            counts[*owner, "X" + cell] = counts.get((*owner, "X" + cell), 0) + 1
             if len(counts) > 200_000:
                 yield out()
                 counts = {}
@@ -175,17 +175,35 @@ def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tupl
     told = lines.select("file_id", "line_text").join(head, "file_id").select("_feed", "delim", "header_line", "line_text")
     told = told.mapInArrow(signs, "_feed string, name string, field string, sign string, n bigint")
     told = cut_lineage(told.groupBy("_feed", "name", "field", "sign").agg(F.sum("n").alias("n")))
-    of_field = told.where("field is not null").select("field", "sign", F.col("n").alias("n_f"))
-    of_field = of_field.join(of_field.groupBy("field").agg(F.sum("n_f").alias("all_f")), "field").select("field", "sign", (F.col("n_f") / F.col("all_f")).alias("p_f"))
+    of_field = told.where("field is not null").select("field", "sign", "n", F.col("n").alias("n_f"))
+    once = F.when(~F.col("sign").startswith("X"), F.col("n"))
+    of_field = of_field.join(of_field.groupBy("field").agg(F.coalesce(F.sum(once), F.lit(1)).alias("all_f")), "field").select("field", "sign", (F.col("n_f") / F.col("all_f")).alias("p_f"))
+    of_kind = of_field.groupBy("field", F.substring("sign", 1, 1).alias("_kind")).agg(F.sum("p_f").alias("p_kind"))  # three rows a field
+    of_field = of_field.withColumn("_kind", F.substring("sign", 1, 1)).join(F.broadcast(of_kind), ["field", "_kind"]).drop("_kind")
     of_name = told.where("field is null").select("_feed", "name", "sign", "n")
-    of_name = of_name.join(of_name.groupBy("_feed", "name").agg(F.sum("n").alias("all_n")), ["_feed", "name"]).select("_feed", "name", "sign", (F.col("n") / F.col("all_n")).alias("p"))
-    shared = F.when(F.col("sign").startswith("T"), F.col("p")).otherwise(F.least("p", "p_f"))
-    alike = open_.join(of_name, ["_feed", "name"]).join(of_field, ["field", "sign"]).groupBy("_feed", "name", "field", "against").agg(F.sum(shared).alias("alike"))
-    cost = F.round(F.lit(TIE) + (1.0 - TIE) * 2.0 * (1.0 - F.col("alike")) + F.col("against"), 6)
+    of_name = of_name.join(of_name.groupBy("_feed", "name").agg(F.sum(once).alias("all_n")), ["_feed", "name"]).select("_feed", "name", "sign", (F.col("n") / F.col("all_n")).alias("p"))
+    shared = F.when(F.col("sign").rlike("^[TX]"), F.col("p")).otherwise((F.least("p", "p_f") + F.col("p") * F.col("p_kind")) / 2)
+    told = open_.select("_feed", "name", "field").join(of_name, ["_feed", "name"]).join(of_field, ["field", "sign"])
+    alike = open_.join(told.groupBy("_feed", "name", "field").agg(F.least(F.sum(shared), F.lit(1.0)).alias("alike")), ["_feed", "name", "field"], "left")
+    filled = of_name.select("_feed", "name").distinct().withColumn("_filled", F.lit(True))
+    alike = alike.join(filled, ["_feed", "name"], "left").withColumn("alike", F.coalesce("alike", F.when(F.col("_filled"), 0.0).otherwise(0.5)))
+    cost = F.round(F.lit(TIE) + (1.0 - TIE) * 2.0 * (1.0 - F.col("alike")) + F.col("against") - NEAR * F.col("near"), 6)
     near = alike.withColumn("cost", cost).where("cost < 1.0")
     return near.groupBy("_feed").agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "field", "cost")))).alias("ties"))
 
 
+@lru_cache(maxsize=50_000)
+def _likeness(name: str, known: tuple[str, ...]) -> float:
+    """How like a name is to one of a field's, from 0 to 1: 1 where one contains the other."""
+    plain = re.sub(r"[^a-z]", "", name)
+    best = 0.0
+    for other in (re.sub(r"[^a-z]", "", k) for k in known):
+        if min(len(plain), len(other)) >= 3 and (plain in other or other in plain):
+            return 1.0
+        best = max(best, 2.0 * SequenceMatcher(None, plain, other).ratio() - 1.0)
+    return best
+
+
 @lru_cache(maxsize=20_000)
 def _owners(feed: str, header: str | None, delim: str | None, known: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[tuple, ...]:
     """For each column its feed and name, or the field that it holds under a known name."""
@@ -206,32 +224,28 @@ def _ties(text: str) -> dict[tuple[str, str], float]:
 
 @lru_cache(maxsize=50_000)
 def _bind(names: tuple[str, ...], ties: str, known: tuple[tuple[str, tuple[str, ...]], ...]) -> tuple[str | None, ...]:
-    """For each column, the field that it holds (None: a column of its own).
+    """For each column, the field that it holds (None: a column of its own), by the cheapest edit script from the table's tree to the file's.
 
-    The cheapest pairing of the file's columns with the table's fields: free under a known name,
-    dearer the less a name resembles one; under another name by what ``column_ties`` says of it.
+    Turning a field into a column is free under its own name, dearer under another that is known for
+    it or spelled alike; for any other name it costs what ``column_ties`` says.
     """
-    fields = [f for f, _ in known]
-    n, m = len(names), len(fields)
-    costs = _ties(ties)
-    matrix = []
-    for i in range(n + m):
-        if i >= n:
-            matrix.append([1.0] * m + [0.0] * n)
-            continue
-        row = []
-        for f, aliases in known:
-            if names[i] == f:
-                row.append(0.0)
-            elif names[i] in aliases:
-                row.append(0.1 + 0.01 * aliases.index(names[i]))
-            else:
-                plain = re.sub(r"[^a-z]", "", names[i])
-                near = any(plain == re.sub(r"[^a-z]", "", a) for a in aliases)
-                row.append(0.5 if near and plain else costs.get((names[i], f), 5.0))
-        matrix.append(row + [1.0] * n)
-    chosen = assign(matrix) if matrix else []
-    return tuple(fields[chosen[i]] if chosen[i] < m and matrix[i][chosen[i]] < 1.0 else None for i in range(n))
+    aliases, costs = dict(known), _ties(ties)
+
+    def cost(field: Node, column: Node) -> float:
+        if column.name == field.name:
+            return 0.0
+        if column.name in aliases[field.name]:
+            return 0.1 + 0.01 * aliases[field.name].index(column.name)
+        plain = re.sub(r"[^a-z]", "", column.name)
+        if plain and any(plain == re.sub(r"[^a-z]", "", a) for a in aliases[field.name]):
+            return 0.5
+        return costs.get((column.name, field.name), FORBIDDEN)
+
+    table = Node("", "struct", tuple(Node(f, "string") for f in aliases))
+    script = edit_script(table, Node("", "struct", tuple(Node(n, "string") for n in names)), cost)
+    field_of = {column: field for field, column in script.kept.items()}
+    # of equally named columns the first counts
+    return tuple(field_of.get(n) if names.index(n) == i else None for i, n in enumerate(names))
 
 
 def _tree(columns: Mapping[str, tuple[str, str | None]], known: set[str]) -> Node:
@@ -405,8 +419,9 @@ def money(text: Column) -> Column:
 
 
 def calendar_date(text: Column) -> Column:
-    """A date from the spellings that occur: year first with or without separators and time, or day first with points or slashes."""
+    """A date (UTC) from the spellings that occur: year first with or without separators and time, day first with points or slashes, or seconds or milliseconds since 1970."""
     t = F.trim(text)
+    seconds = F.when(t.rlike(r"^1[0-9]{9}$"), t.try_cast("bigint")).when(t.rlike(r"^1[0-9]{12}$"), F.floor(t.try_cast("bigint") / 1000))
     parts = [
         (r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", (1, 2, 3)),
         (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3)),
@@ -416,4 +431,4 @@ def calendar_date(text: Column) -> Column:
     for pattern, (y, m, d) in reversed(parts):
         pieces = [F.lpad(F.regexp_extract(t, pattern, i), 2 if i != y else 4, "0") for i in (y, m, d)]
         out = F.when(t.rlike(pattern), F.concat_ws("-", *pieces).try_cast("date")).otherwise(out)
-    return out
+    return F.when(seconds.isNotNull(), F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))).otherwise(out)

@@ -9,7 +9,7 @@ that reads data of the one schema as the other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -118,13 +118,13 @@ def _pair(a: Node, b: Node) -> tuple[float, tuple[tuple[int, int], ...]]:
     return cost + more, pairs
 
 
-def _children(old: tuple[Node, ...], new: tuple[Node, ...]) -> tuple[float, tuple[tuple[int, int], ...]]:
+def _children(old: tuple[Node, ...], new: tuple[Node, ...], pair: Callable[[Node, Node], tuple] = _pair) -> tuple[float, tuple[tuple[int, int], ...]]:
     n, m = len(old), len(new)
     matrix = []
     for i in range(n + m):
         if i < n:
             removal = [float(old[i].size) if k == i else FORBIDDEN for k in range(n)]
-            matrix.append([_pair(old[i], b)[0] for b in new] + removal)
+            matrix.append([pair(old[i], b)[0] for b in new] + removal)
         else:
             matrix.append([float(new[j].size) if j == i - n else FORBIDDEN for j in range(m)] + [0.0] * n)
     chosen = assign(matrix)
@@ -132,13 +132,15 @@ def _children(old: tuple[Node, ...], new: tuple[Node, ...]) -> tuple[float, tupl
     return total, tuple((i, chosen[i]) for i in range(n) if chosen[i] < m)
 
 
-def edit_script(old: Node, new: Node) -> Script:
+def edit_script(old: Node, new: Node, leaf_cost: Callable[[Node, Node], float] | None = None) -> Script:
     """The cheapest script from ``old`` to ``new``; their roots are taken as the same.
 
-    Empty schemas are fine: everything is then added or removed.  Names are compared exactly; give
+    ``leaf_cost`` says what it costs to turn one leaf into another, where more is known than names and
+    kinds; adding and deleting a leaf costs 1 each.  Empty schemas are fine: everything is then added or removed.  Names are compared exactly; give
     normalised ones where spelling must not matter.  Of equally named siblings each is its own node.
     """
     script = Script()
+    pair = _pair if leaf_cost is None else lambda a, b: (leaf_cost(a, b), ()) if not (a.children or b.children) else _pair(a, b)
     gone: list[tuple[str, Node]] = []
     came: list[tuple[str, Node]] = []
 
@@ -150,7 +152,7 @@ def edit_script(old: Node, new: Node) -> Script:
             script.edits.append(Edit("renamed", at_a, at_b, means=b.means))
         if a.kind != b.kind and not a.children:
             script.edits.append(Edit("retyped", at_a, at_b, a.kind, b.kind, b.means))
-        below(a.children, b.children, _pair(a, b)[1], at_a + ".", at_b + ".")
+        below(a.children, b.children, pair(a, b)[1], at_a + ".", at_b + ".")
 
     def below(olds, news, pairs, at_a: str, at_b: str) -> None:
         left, right = {i for i, _ in pairs}, {j for _, j in pairs}
@@ -159,13 +161,13 @@ def edit_script(old: Node, new: Node) -> Script:
         gone.extend((at_a + a.name, a) for i, a in enumerate(olds) if i not in left)
         came.extend((at_b + b.name, b) for j, b in enumerate(news) if j not in right)
 
-    script.cost, pairs = _children(old.children, new.children)
+    script.cost, pairs = _children(old.children, new.children, pair)
     below(old.children, new.children, pairs, "", "")
     options = sorted(
         (cost, i, j)
         for i, (_, a) in enumerate(gone)
         for j, (_, b) in enumerate(came)
-        if (cost := MOVE + _pair(a, b)[0]) < 0.6 * (a.size + b.size)
+        if (cost := MOVE + pair(a, b)[0]) < 0.6 * (a.size + b.size)
     )
     used_a: set[int] = set()
     used_b: set[int] = set()

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import clean_key
 from millrace.operators import compaction, hot_keys, references, row_check, schema_drift
-from millrace.session import fresh_dir
+from millrace.operators.schema_tree import unify
+from millrace.session import cut_lineage, fresh_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,27 @@ def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"amount": schema_drift.money(F.col("amount")), "date": schema_drift.calendar_date(F.col("date")), "others": F.to_json("others")})
 
 
+def p2_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent table without the columns that stay the files' own."""
+    return p2_table(spark, sf_dir).drop("others")
+
+
+def p2_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested web sales as three drifting versions (fields moved, renamed, retyped, left out), made one table again."""
+    web = table(spark, sf_dir, "web_sales").select("row_id", "customer", "amount", "date", "metadata")
+    first = web.where(F.pmod("row_id", F.lit(3)) == 0)
+    second = web.where(F.pmod("row_id", F.lit(3)) == 1).withColumn("amount", F.col("amount").cast("string")).withColumn(
+        "metadata", F.struct(F.col("metadata.discount").alias("discounts"), F.col("metadata.shipping").alias("shipping"))
+    )
+    third = web.where(F.pmod("row_id", F.lit(3)) == 2).select("row_id", "date", "metadata", F.col("customer").alias("customers"))
+    out, _ = unify([first, second, third])
+    names = {c: F.col(c) for c in out.columns}
+    customer = names["customers"] if "customers" in names else names["customer"]
+    inner = dict(out.schema["metadata"].dataType.fieldNames() and {n: F.col(f"metadata.{n}") for n in out.schema["metadata"].dataType.fieldNames()})
+    discount = inner.get("discounts", inner.get("discount"))
+    return out.select("row_id", customer.alias("customer"), F.col("amount").cast("double").alias("amount"), "date", discount.alias("discount"), inner["shipping"].alias("shipping"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row_check.rejected(table(spark, sf_dir, "raw_rows"), "record_text", "tab_name", [row_check.SALES, row_check.CUSTOMERS]).select("raw_id")
 
@@ -83,13 +105,24 @@ def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The small files, by the bytes that the validated containers got of each."""
-    joined = compaction.compact_measured(_planned(spark, sf_dir), table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-found"))
+    joined = compaction.compact_measured(_planned(spark, sf_dir), table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-found"), keep=False)
     return compaction.small_files(joined, compaction.SMALL_BYTES).select("file_id")
 
 
 def p5_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = compaction.compact_lines(_planned(spark, sf_dir), table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-layout"))
-    return manifest.select("container", "n_files", "n_lines", "n_bytes", "valid")
+    return manifest.select("container", "n_files", "n_lines", "n_bytes", "stored_bytes", "valid")
+
+
+def p5_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per date: lines, bytes and checksum of what the layout's containers hold when they are read again."""
+    planned = cut_lineage(_planned(spark, sf_dir))  # a row a file
+    manifest = compaction.compact_lines(planned, table(spark, sf_dir, "file_rows"), fresh_dir(spark, "p5-stored")).where("path is not null")
+    base = F.regexp_replace("container", r"^(whole-[^-]*)-[0-9]+$", "$1")
+    days = planned.groupBy(F.col("container").alias("_c")).agg(F.first("day").alias("day"), F.first("header_line").isNotNull().alias("has_header"))
+    dated = manifest.withColumn("_c", base).join(days, "_c").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    sums = compaction.stored_sums(dated).join(dated.select("container", "day"), "container")
+    return sums.groupBy("day").agg(*[F.sum(c).alias(c) for c in ("n_lines", "n_bytes", "line_sum")])
 
 
 def p5_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,6 +140,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_totals": p1_totals,
     "p2_found": p2_found,
     "p2_table": p2_table,
+    "p2_rows": p2_rows,
+    "p2_nested": p2_nested,
     "p3_found": p3_found,
     "p3_reasons": p3_reasons,
     "p3_sales": p3_sales,
@@ -115,6 +150,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_report": p4_report,
     "p5_found": p5_found,
     "p5_layout": p5_layout,
+    "p5_stored": p5_stored,
     "p5_dates": p5_dates,
 }
 
@@ -131,6 +167,18 @@ _NUM = r"[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 _MAIL = r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
 
+def _day(text: str) -> str:
+    """SQL for a date (UTC) from the spellings that occur."""
+    ways = ((r"^([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})", (1, 2, 3)), (r"^([0-9]{4})([0-9]{2})([0-9]{2})$", (1, 2, 3)), (r"^([0-9]{1,2})[./]([0-9]{1,2})[./]([0-9]{4})", (3, 2, 1)))
+    part = lambda p, i, n: f"lpad(regexp_extract(trim({text}), '{p}', {i}), {n}, '0')"
+    cases = [f"WHEN regexp_matches(trim({text}), '{p}') THEN TRY_CAST({part(p, y, 4)} || '-' || {part(p, m, 2)} || '-' || {part(p, d, 2)} AS DATE)" for p, (y, m, d) in ways]
+    seconds = f"WHEN regexp_matches(trim({text}), '^1[0-9]{{9}}$') THEN DATE '1970-01-01' + CAST(floor(CAST(trim({text}) AS BIGINT) / 86400) AS INTEGER)"
+    return f"CASE {seconds} {' '.join(cases)} END"
+
+
+_DAY = _day("date")
+
+
 def _cell(rule: str) -> str:
     return f'(?: *(?:{rule})? *|" *(?:{rule})? *")'
 
@@ -147,7 +195,15 @@ _SIZES = """body AS (SELECT file_id, count(*) AS n_lines, sum(strlen(line_text)
     sized AS (SELECT f.*, coalesce(n_lines, 0) AS n_lines, coalesce(b, 0) AS body, strlen(header_line) + 1 + coalesce(b, 0) AS true_bytes
               FROM sales_files f LEFT JOIN body USING (file_id))"""
 
-_FIELD = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(a) for a in names)}) THEN '{f}'" for f, names in schema_drift.FIELDS.items()) + " ELSE name END"
+#: Names that the fields go by in the test tables (fixed values): the SQL is told them, the operator isn't.
+_NAMES = {
+    "customer": ("customer", "client", "buyer", "customer name"),
+    "region": ("region", "area", "territory"),
+    "product": ("product", "prod", "item", "article", "ware", "product_name", "sku title"),
+    "amount": ("amount", "amt", "value", "total", "paid", "nettotal", "sale_amount"),
+    "date": ("date", "dt", "day", "sale_date", "soldon", "order date"),
+}
+_FIELD = "CASE " + " ".join(f"WHEN name IN ({', '.join(repr(a) for a in names)}) THEN '{f}'" for f, names in _NAMES.items()) + " ELSE name END"
 _SPLIT = {",": ",", ";": ";", "|": r"\|", "\t": r"\t"}
 _CELLS = "CASE delim " + " ".join(
     f"""WHEN {"chr(9)" if d == "\t" else repr(d)} THEN regexp_extract_all(delim || {{line}}, '{e}("(?:[^"]|"")*"|[^{e}]*)', 1)""" for d, e in _SPLIT.items()
@@ -170,6 +226,12 @@ SQL: dict[str, str] = {
             FROM now n FULL JOIN old o ON n.file_id = o.file_id AND n.field = o.field)
         SELECT file_id, field_name, 'added' AS change_kind FROM joined WHERE of IS NULL UNION ALL SELECT file_id, field_name, 'removed' FROM joined WHERE nf IS NULL
         UNION ALL SELECT file_id, field_name, 'renamed' FROM joined WHERE nn <> oname UNION ALL SELECT file_id, field_name, 'retyped' FROM joined WHERE nk <> ok""",
+    "p2_rows": f"""WITH {_DRIFT}, lines AS (SELECT file_id, line_no, {_CELLS.format(line="line_text")} AS c FROM file_rows JOIN sales_files USING (file_id)),
+        every AS (SELECT l.file_id, l.line_no, k.field, nullif(CASE WHEN starts_with(c[k.pos], '"') THEN replace(c[k.pos][2:-2], '""', '"') ELSE c[k.pos] END, '') AS cell FROM lines l JOIN cols k USING (file_id)),
+        wide AS (SELECT file_id, line_no, {", ".join(f"max(cell) FILTER (WHERE field = '{f}') AS {f}" for f in _NAMES)} FROM every GROUP BY ALL),
+        bare AS (SELECT w.* EXCLUDE (amount, date), regexp_replace(amount, '[^0-9,.+eE-]', '', 'g') AS a, coalesce(w.date, f.date) AS day FROM wide w JOIN sales_files f USING (file_id))
+        SELECT file_id, line_no, customer, region, product, TRY_CAST(CASE WHEN regexp_matches(a, '^[+-]?[0-9]+,[0-9]{{1,2}}$') THEN replace(a, ',', '.') ELSE replace(a, ',', '') END AS DOUBLE) AS amount, {_day("day")} AS date FROM bare""",
+    "p2_nested": """SELECT row_id, customer, CASE WHEN row_id % 3 = 2 THEN NULL ELSE amount END AS amount, date, metadata.discount AS discount, metadata.shipping AS shipping FROM web_sales""",
     "p1_totals": f"""SELECT field_name, key_value, count(*) AS n_rows, count(amount) FILTER (WHERE NOT isnan(amount)) AS n_values,
         round(coalesce(sum(amount) FILTER (WHERE NOT isnan(amount)), 0), 2) AS total FROM ({_KEYS}) GROUP BY 1, 2""",
     "p1_found": f"""WITH t AS (SELECT field_name, key_value, count(*) AS n FROM ({_KEYS}) WHERE key_value IS NOT NULL GROUP BY 1, 2)
@@ -184,6 +246,9 @@ SQL: dict[str, str] = {
         SELECT tab_name, month, n_refs, coalesce(n_orphans, 0) AS n_orphans, coalesce(n_ended, 0) AS n_ended,
             coalesce(n_orphans, 0) - coalesce(n_ended, 0) AS n_never FROM every LEFT JOIN kinds USING (tab_name, month)""",
     "p5_found": f"WITH {_SIZES} SELECT file_id FROM sized WHERE true_bytes < 2048",
+    "p5_stored": f"""WITH dated AS (SELECT file_id, {_DAY} AS day FROM sales_files)
+        SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n_lines, CAST(sum(strlen(coalesce(line_text, '')) + 1) AS BIGINT) AS n_bytes, CAST(sum(CAST(('0x' || substr(md5(coalesce(line_text, '')), 1, 8)) AS BIGINT)) AS BIGINT) AS line_sum
+        FROM file_rows JOIN dated USING (file_id) GROUP BY 1""",
     "p5_dates": f"""WITH {_SIZES}, dated AS (SELECT *, CASE WHEN date IS NULL THEN NULL ELSE concat_ws('-', split_part(date, '-', 1),
             lpad(split_part(date, '-', 2), 2, '0'), lpad(split_part(date, '-', 3), 2, '0')) END AS day FROM sized)
         SELECT day, count(*) AS n_files, CAST(sum(n_lines) AS BIGINT) AS n_lines, CAST(sum(body) AS BIGINT) AS body_bytes FROM dated GROUP BY day""",

@@ -130,6 +130,13 @@ def test_runs_are_contiguous(spark):
     assert sorted((r._k1, r._at, r._end) for r in references.parent_runs(stays).collect()) == [(1, 0, 20), (1, 30, 40), (2, 1, 2)]
 
 
+def _unpacked(path):
+    import zstandard
+
+    with open(path, "rb") as f, zstandard.ZstdDecompressor().stream_reader(f, read_across_frames=True) as reader:
+        return reader.read()
+
+
 def test_small_files_and_containers(spark, tmp_path):
     files = [(1, "d1", "a,b", ","), (2, "d1", "a,b", ","), (3, "d1", "b,a", ","), (4, None, None, ","), (5, "d2", "a,b", ","), (6, "d1", "a,b", ",")]
     lines = [(1, 1, "x,1"), (1, 2, "é,2"), (2, 1, "x,1"), (3, 1, "y"), (4, 1, None), (6, 1, "z" * 5000), (99, 1, "nobody")]
@@ -144,7 +151,7 @@ def test_small_files_and_containers(spark, tmp_path):
     one = spark.createDataFrame([(7, "d", "a,b", ",")], "file_id long, day string, header_line string, delim string")
     cut = compaction.compact_lines(compaction.plan_containers(compaction.measure(one, tall), ["day"], 2000), tall).collect()
     assert len(cut) == 4 and all(r.valid for r in cut) and sum(r.n_lines for r in cut) == 900 and max(r.n_bytes for r in cut) < 2100
-    written = sorted(open(r.path, encoding="utf-8").read() for r in out)
+    written = sorted(_unpacked(r.path).decode() for r in out)
     assert written == sorted(["a,b\nx,1\né,2\nx,1\n", "b,a\ny\n", "\n", "a,b\n", "a,b\n" + "z" * 5000 + "\n"])
     assert compaction.measure(f.limit(0), x).count() == 0
 
@@ -207,12 +214,15 @@ def _drift_files():
     return heads, cells
 
 
+KNOWN = {"customer": ("customer",), "region": ("region",), "product": ("product", "prod", "item"), "amount": ("amount", "total"), "date": ("date",)}
+
+
 @pytest.mark.parametrize("block", [4096, 2])
 def test_drift_report(spark, block):
     heads, cells = _drift_files()
     files = spark.createDataFrame([(k, *v) for k, v in heads.items()], "file_id long, feed string, seq_no int, delim string, header_line string").withColumn("types", F.lit("clash"))
     lines = spark.createDataFrame([(k, 1, v) for k, v in cells.items() if v] + [(99, 1, "x"), (1, 2, None)], "file_id long, line_no int, line_text string")
-    got = {(r.file_id, r.field_name, r.change_kind) for r in schema_drift.drift_report(files, lines, block=block).collect()}
+    got = {(r.file_id, r.field_name, r.change_kind) for r in schema_drift.drift_report(files, lines, KNOWN, block=block).collect()}
     assert got == {
         (2, "product", "renamed"), (2, "product", "retyped"), (3, "product", "removed"), (3, "amount", "retyped"), (3, "qty", "added"), (4, "product", "added"), (5, "qty", "removed"),
         (7, "amount", "renamed"), (7, "amount", "retyped"), (7, "product", "retyped"), (7, "date", "retyped"), (8, "customer", "removed"), (8, "region", "removed"),
@@ -225,14 +235,14 @@ def test_consistent_table(spark):
     heads, cells = _drift_files()
     files = spark.createDataFrame([(k, *v, "2024-3-4") for k, v in heads.items()], "file_id long, feed string, seq_no int, delim string, header_line string, date string")
     lines = spark.createDataFrame([(k, 1, v) for k, v in cells.items()], "file_id long, line_no int, line_text string")
-    got = {r.file_id: r for r in schema_drift.consistent_table(files, lines).collect()}
+    got = {r.file_id: r for r in schema_drift.consistent_table(files, lines, KNOWN).collect()}
     assert len(got) == len(cells)
     assert (got[2]["product"], got[2].amount, got[2].customer, got[2].date) == ("17", "1.5", "A", "2024-01-01")
     assert got[6].region == "w,x" and got[6].date == "2024-3-4" and got[3].others == {"qty": "5"} and got[5].customer is None
     odd = spark.createDataFrame([("KRN 1,234.50",), ("107,80",), ("-3",), ("x",), (None,)], "m string").select(schema_drift.money(F.col("m")).alias("v"))
     assert [r.v for r in odd.collect()] == [1234.5, 107.8, -3.0, None, None]
-    days = spark.createDataFrame([("2024-3-4",), ("20240304",), ("4.3.2024",), ("2024-03-04 10:00",), ("2024-13-40",)], "d string").select(schema_drift.calendar_date(F.col("d")).cast("string").alias("v"))
-    assert [r.v for r in days.collect()] == ["2024-03-04"] * 4 + [None]
+    days = spark.createDataFrame([("2024-3-4",), ("20240304",), ("4.3.2024",), ("2024-03-04 10:00",), ("2024-13-40",), ("1709510400",), ("1709510400999",)], "d string").select(schema_drift.calendar_date(F.col("d")).cast("string").alias("v"))
+    assert [r.v for r in days.collect()] == ["2024-03-04"] * 4 + [None] + ["2024-03-04"] * 2
 
 
 def test_unlisted_names_are_tied_by_their_cells(spark):
@@ -279,9 +289,13 @@ def test_small_files_come_from_the_validated_containers(spark, tmp_path, monkeyp
     monkeypatch.setattr(data_queries, "fresh_dir", lambda *_: f"file://{tmp_path}/out")
     got = {r.file_id for r in data_queries.p5_found(spark, str(tmp_path)).collect()}
     assert got == {1, 3, 4, 5}
-    # the containers were written: three headers of four bytes or less, once each, and every line
-    stored = [x.read_bytes() for x in (tmp_path / "out").glob("*.csv")]
-    assert sorted(map(len, stored)) == sorted([4 + 2043 + 2044, 2047, 4, 3 + 1 + 3])
+    assert not (tmp_path / "out").exists()  # removed once they were checked
+    planned, text = data_queries._planned(spark, str(tmp_path)), spark.read.parquet(f"{tmp_path}/file_rows.parquet")
+    sizes = {r.file_id: (r.n_lines, r.true_bytes) for r in compaction.compact_measured(planned, text, f"file://{tmp_path}/kept").collect()}
+    assert sizes == {1: (1, 2047), 2: (1, 2048), 3: (1, 2047), 4: (0, 4), 5: (2, 7)}
+    # the containers hold three headers of four bytes or less, once each, and every line
+    stored = [_unpacked(x) for x in (tmp_path / "kept").glob("*.zst")]
+    assert sorted(map(len, stored)) == sorted([4 + 2043 + 2044, 2047, 4, 3 + 1 + 3]) and not list((tmp_path / "kept").glob("*.tmp"))
     planned = data_queries._planned(spark, str(tmp_path)).withColumn("n_lines", F.col("n_lines") + (F.col("file_id") == 2).cast("long"))
     with pytest.raises(ValueError, match="planned"):
         compaction.compact_measured(planned, spark.read.parquet(f"{tmp_path}/file_rows.parquet"))
@@ -303,3 +317,28 @@ def test_stored_bytes_are_read_again_and_frames_are_whole(spark, tmp_path):
     for data in (bytes(bad), bytes(bad[:-1]), bytes(bad) + b"x"):
         (tmp_path / "out.zst").write_bytes(data)
         assert not compaction._stored(local, f"{tmp_path}/out.zst", pieces)
+
+
+def test_large_files_are_framed_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(compaction, "_FRAME", 500)
+    files = spark.createDataFrame([(1, "d", "a,b", ","), (2, "d", "a,b", ",")], "file_id long, day string, header_line string, delim string")
+    lines = spark.createDataFrame([(f, i, f"{f},{i},{'é' * (i % 7)}") for f, n in ((1, 800), (2, 5)) for i in range(1, n + 1)], "file_id long, line_no int, line_text string").repartition(5)
+    planned = compaction.plan_containers(compaction.measure(files, lines), ["day"], 4000)
+    out = compaction.compact_lines(planned, lines, f"file://{tmp_path}/out").collect()
+    assert all(r.valid for r in out) and len(out) >= 4
+    got = [x for r in out for x in _unpacked(r.path).decode().splitlines() if x != "a,b"]
+    assert sorted(got) == sorted(r.line_text for r in lines.collect())
+    assert sum(r.n_bytes for r in compaction.stored_sums(spark.createDataFrame([(r.container, r.path, True) for r in out], "container string, path string, has_header boolean")).collect()) == sum(len(x.encode()) + 1 for x in got)
+
+
+def test_block_sums_hold_one_block_at_a_time(spark):
+    df = spark.range(20_000).select((F.col("id") % 5000).cast("string").alias("k"), F.lit(1.0).alias("v")).repartition(6)
+    got = hot_keys.key_totals(df, ["k"], "v", blocks=97).collect()
+    assert len(got) == 5000 and all((r.n_rows, r.n_values, r.total) == (4, 4, 4.0) for r in got)
+
+
+def test_leaf_costs_decide_a_script():
+    old = Node("", "struct", (Node("price", "double"), Node("day", "date")))
+    new = Node("", "struct", (Node("betrag", "double"), Node("qty", "long")))
+    script = edit_script(old, new, lambda a, b: 0.4 if (a.name, b.name) == ("price", "betrag") else 1e6)
+    assert script.kept == {"price": "betrag"} and {(e.what, e.old, e.new) for e in script.edits} == {("renamed", "price", "betrag"), ("removed", "day", None), ("added", None, "qty")}
