@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 
 FOREVER = 2**63 - 1
 KEY = ["_k1", "_k2", "_slice"]
-#: A hot key's slices; together with HOT_KEYS this bounds what is sent to the driver: 2,000 arrays of 1,000 instants.
-MAX_SLICES = 1000
-HOT_KEYS = 2000
+#: No key, and no slice of a key, holds more than so great a part of all rows: there can be no more hot keys and slices than that.
+PARTS = 2000
 
 
 def find_hot(moments: DataFrame, hot_rows: int) -> list[tuple[int, int, list[int]]]:
-    """Of ``_k1, _k2, _at``: the keys with more than ``hot_rows`` rows, each with its slices' starts.
+    """Of ``_k1, _k2, _at``: the keys with more than ``hot_rows`` rows and a PARTS-th of all, each with its slices' starts.
 
-    There are at most HOT_KEYS of them: where more keys are that large, those with fewer rows, which
-    hold less than a 2,000th of all each, stay whole.  Slices hold about equally many rows: their
-    starts are quantiles of the key's instants.
+    Slices hold about equally many rows, that many at most: their starts are quantiles of the key's
+    instants.  What is sent to the driver are at most PARTS keys and 2 * PARTS instants.
     """
-    counts = moments.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_rows)
-    found = counts.orderBy(F.desc("n"), "_k1", "_k2").limit(HOT_KEYS).collect()
+    counts = moments.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n").alias("n")).first().n or 0
+    limit = max(hot_rows, total // PARTS)
+    found = counts.where(F.col("n") > limit).collect()
     if not found:
         return []
     keys = moments.sparkSession.createDataFrame([(r._k1, r._k2) for r in found], "_k1 long, _k2 long")
-    steps = [i / MAX_SLICES for i in range(1, MAX_SLICES)]
-    cuts = moments.join(F.broadcast(keys), ["_k1", "_k2"]).groupBy("_k1", "_k2").agg(F.percentile_approx("_at", steps, 10 * MAX_SLICES).alias("cuts")).collect()
+    steps = [i / PARTS for i in range(1, PARTS)]
+    cuts = moments.join(F.broadcast(keys), ["_k1", "_k2"]).groupBy("_k1", "_k2").agg(F.percentile_approx("_at", steps, 10 * PARTS).alias("cuts")).collect()
     n_rows = {(r._k1, r._k2): r.n for r in found}
     out = []
     for r in cuts:
-        slices = min(MAX_SLICES, -(-n_rows[r._k1, r._k2] // hot_rows))
-        starts = sorted({r.cuts[i * (MAX_SLICES - 1) // slices] for i in range(1, slices)}) if r.cuts else []
+        slices = min(PARTS, -(-n_rows[r._k1, r._k2] // limit))
+        starts = sorted({r.cuts[i * (PARTS - 1) // slices] for i in range(1, slices)}) if r.cuts else []
         out.append((r._k1, r._k2, [-FOREVER - 1, *starts]))
     return out
 

@@ -98,6 +98,19 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return references.orphan_report(refs.where(F.col("customer").isNotNull()), _orphans(spark, sf_dir, refs), "tab_name", "loaded_at")
 
 
+#: References whose keys are integers: table and column, and the table and column they refer to.
+_INTEGER = (("file_rows", "file_id", "sales_files", "file_id"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("customer", "c_custkey", "orders", "o_custkey"), ("nation", "n_nationkey", "region", "r_regionkey"))
+
+
+def p4_integer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of integer keys, per table, key of the reference and how often it occurs."""
+    out = []
+    for t, key, parent, parent_key in _INTEGER:
+        orphans = references.integer_orphans(table(spark, sf_dir, t).select(key), table(spark, sf_dir, parent), key, parent_key)
+        out.append(orphans.groupBy(F.lit(t).alias("tab_name"), F.col(key).cast("long").alias("key_value")).agg(F.count(F.lit(1)).alias("n")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
+
+
 def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "sales_files").select("file_id", schema_drift.calendar_date(F.col("date")).alias("day"), "delim", "header_line")
     return compaction.plan_containers(compaction.measure(files, table(spark, sf_dir, "file_rows")), ["day"])
@@ -148,6 +161,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_customers": p3_customers,
     "p4_found": p4_found,
     "p4_report": p4_report,
+    "p4_integer": p4_integer,
     "p5_found": p5_found,
     "p5_layout": p5_layout,
     "p5_stored": p5_stored,
@@ -245,6 +259,9 @@ SQL: dict[str, str] = {
         every AS (SELECT tab_name, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n_refs FROM refs WHERE k IS NOT NULL GROUP BY 1, 2)
         SELECT tab_name, month, n_refs, coalesce(n_orphans, 0) AS n_orphans, coalesce(n_ended, 0) AS n_ended,
             coalesce(n_orphans, 0) - coalesce(n_ended, 0) AS n_never FROM every LEFT JOIN kinds USING (tab_name, month)""",
+    "p4_integer": " UNION ALL ".join(
+        f"SELECT '{t}' AS tab_name, CAST({k} AS BIGINT) AS key_value, count(*) AS n FROM {t} WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {pk} IS NOT NULL) GROUP BY 2" for t, k, p, pk in _INTEGER
+    ),
     "p5_found": f"WITH {_SIZES} SELECT file_id FROM sized WHERE true_bytes < 2048",
     "p5_stored": f"""WITH dated AS (SELECT file_id, {_DAY} AS day FROM sales_files)
         SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n_lines, CAST(sum(strlen(coalesce(line_text, '')) + 1) AS BIGINT) AS n_bytes, CAST(sum(CAST(('0x' || substr(md5(coalesce(line_text, '')), 1, 8)) AS BIGINT)) AS BIGINT) AS line_sum

@@ -101,9 +101,9 @@ def test_sound_rows_come_out_typed(spark):
     assert got == [('A, "B"', "west", None, 100.0, "x\ny"), ("a", "b", "c", None, None)]
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 40])
-def test_orphans_against_brute_force(spark, hot_rows):
-    rng = random.Random(hot_rows)
+@pytest.mark.parametrize("hot", [1000, 2, 1])
+def test_orphans_against_brute_force(spark, hot):
+    rng = random.Random(hot)
     day = lambda n: T0 + timedelta(days=n)
     parents = [(rng.choice(["hot", "a", "b", "c", None]), day(s), day(s + rng.randint(0, 20)) if rng.random() < 0.7 else None) for s in (rng.randint(0, 100) for _ in range(150))]
     parents = [(k, s, e) for k, s, e in parents if rng.random() < 0.6 or k != "c"] + [("late", day(90), None), ("none", None, None)]
@@ -112,7 +112,7 @@ def test_orphans_against_brute_force(spark, hot_rows):
     parents = [p for p in parents if p[0] != "hot"] + hot_parents * 3
     r = spark.createDataFrame(refs, "row_id int, customer string, loaded_at timestamp").withColumn("deleted_at", F.lit("clash"))
     p = spark.createDataFrame(parents, "customer string, loaded_at timestamp, deleted_at timestamp")
-    out = references.orphan_references(r, p, "customer", "loaded_at", "customer", "loaded_at", "deleted_at", hot_rows=hot_rows)
+    out = references.orphan_references(r, p, "customer", "loaded_at", "customer", "loaded_at", "deleted_at", hot=hot)
     assert out.columns == [*r.columns, "orphan_kind"]
     want = {i for i, k, t in refs if k is not None and not any(pk == k and s is not None and t is not None and s <= t and (e is None or e > t) for pk, s, e in parents)}
     got = {x.row_id: x.orphan_kind for x in out.collect()}
@@ -126,8 +126,23 @@ def test_orphans_against_brute_force(spark, hot_rows):
 
 
 def test_runs_are_contiguous(spark):
-    stays = spark.createDataFrame([(1, 1, 0, 5), (1, 1, 5, 7), (1, 1, 6, 20), (1, 1, 30, 40), (2, 1, 1, 2)], "_k1 long, _k2 long, _at long, _end long")
-    assert sorted((r._k1, r._at, r._end) for r in references.parent_runs(stays).collect()) == [(1, 0, 20), (1, 30, 40), (2, 1, 2)]
+    far = 1 << 45  # in another slice of time
+    stays = spark.createDataFrame([(1, 1, 0, 5), (1, 1, 5, 7), (1, 1, 6, 20), (1, 1, 30, 40), (2, 1, 1, 2), (3, 1, 0, far + 5), (3, 1, far, far + 9), (3, 1, far + 9, far + 10), (3, 1, far + 20, far + 30)], "_k1 long, _k2 long, _at long, _end long")
+    got = sorted((r._k1, r._at, r._end) for r in references.parent_runs(stays).collect())
+    assert got == [(1, 0, 20), (1, 30, 40), (2, 1, 2), (3, 0, far + 10), (3, far + 20, far + 30)]
+
+
+def test_integer_keys_against_brute_force(spark):
+    rng = random.Random(9)
+    have = [rng.randint(-100, 100) for _ in range(120)] + [65535, 65536, 65537, -65536, 10**12, None]
+    refs = [(i, rng.choice([rng.randint(-150, 150), 65534, 65535, 65536, 65538, 10**12, 10**12 + 1, None])) for i in range(600)]
+    p = spark.createDataFrame([(k,) for k in have], "id long")
+    r = spark.createDataFrame(refs, "row_id int, k long").withColumn("first", F.lit("clash"))
+    got = {x.row_id for x in references.integer_orphans(r, p, "k", "id").collect()}
+    assert got == {i for i, k in refs if k is not None and k not in have}
+    assert references.integer_orphans(r, p.limit(0), "k", "id").count() == sum(k is not None for _, k in refs)
+    assert references.integer_orphans(r.limit(0), p, "k", "id").count() == 0
+    assert max(len(x._runs) for x in references.key_runs(spark.range(200_000), "id").collect()) == 1
 
 
 def _unpacked(path):
