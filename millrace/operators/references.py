@@ -72,7 +72,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, at: str, pa
     """
     if any(c.startswith("_") for c in refs.columns):
         raise ValueError("column names that begin with an underscore are reserved")
-    moments = refs.where(F.col(key).isNotNull()).select("*", *_hash(F.col(key)), _instant(F.col(at)).alias("_t"))
+    moments = refs.select("*", *_hash(F.col(key)), _instant(F.col(at)).alias("_t"))
     last = F.lit(FOREVER) if end is None else F.coalesce(_instant(F.col(end)), F.lit(FOREVER))
     stays = (
         parents.where(F.col(parent_key).isNotNull() & F.col(start).isNotNull())
@@ -80,12 +80,13 @@ def orphan_references(refs: DataFrame, parents: DataFrame, key: str, at: str, pa
         .where(F.col("_end") > F.col("_at"))
     )
     runs = parent_runs(stays).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("_at", "_end"))).alias("_runs"))
-    often = refs.where(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {hot}, {max(SKETCH, hot)})").alias("_top"))
+    often = refs.agg(F.expr(f"approx_top_k(`{key}`, {hot}, {max(SKETCH, hot)})").alias("_top"))
     keys = often.select(F.explode("_top").alias("_i")).select(*_hash(F.col("_i.item"))).distinct()  # at most ``hot`` rows
     known = F.broadcast(keys.join(runs, KEY, "left").select(*KEY, F.col("_runs").alias("_hot"), F.lit(True).alias("_is_hot")))
-    first = moments.join(known, KEY, "left").withColumn("_kind", F.when(F.col("_is_hot"), _judged("_hot")))
+    # null keys are let go here, not by a filter of their own: the planner would work out a computed key once more for that
+    first = moments.join(known, KEY, "left").withColumn("_kind", F.when(F.col(key).isNull(), "").when(F.col("_is_hot"), _judged("_hot")))
     # what is decided and sound goes no further; decided orphans are spread, they match nothing
-    left = first.where(F.col("_is_hot").isNull() | (F.col("_kind") != "")).drop("_hot", "_is_hot")
+    left = first.where(F.col("_kind").isNull() | (F.col("_kind") != "")).drop("_hot", "_is_hot")
     spread = {"_k1": F.when(F.col("_kind").isNull(), F.col("_k1")).otherwise(F.monotonically_increasing_id()), "_k2": F.when(F.col("_kind").isNull(), F.col("_k2"))}
     # the join adaptive execution may split: an equi-join whose right side has a row a key
     matched = left.withColumns(spread).join(runs, KEY, "left").withColumn("_kind", F.coalesce("_kind", _judged("_runs")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -9,11 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.operators import profile
+from millrace.operators.compaction import compact_paths
 from millrace.operators.relational import as_of_join, filter_rows, group, join, limit, pivot, select, sort, top_k, union, unpivot
 from millrace.plans.pipeline import PLUGINS, Pipeline
 from millrace.plans.sql import run_sql
 from millrace.session import fresh_dir
-from millrace.sources.read import from_arrow, load
+from millrace.sources.read import from_arrow, load, preview_schema
 from millrace.sources.write import store
 from millrace.streaming.windows import session_group, window_group
 
@@ -70,7 +72,18 @@ _add("filter_implicit_any", lambda t: select(filter_rows(t("embeddings"), "embed
 _add("filter_index", lambda t: select(filter_rows(t("embeddings"), "embedding[0] > 0"), "vec_id"), "SELECT vec_id FROM embeddings WHERE embedding[1] > 0")
 
 # order
-_add("sort_multi", lambda t: sort(t("nation"), "n_regionkey, n_name:desc"), "SELECT * FROM nation")
+def _placed(df: DataFrame) -> DataFrame:
+    """Sorted rows with their place: one partition, in the order of the ranges that were sorted."""
+    return df.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+_add("sort_multi", lambda t: _placed(sort(t("nation"), "n_regionkey, n_name:desc")), "SELECT *, row_number() OVER (ORDER BY n_regionkey, n_name DESC) AS place FROM nation")
+for _way, _nulls in (("asc", "FIRST"), ("desc", "LAST")):
+    _add(
+        f"sort_nulls_{_way}",
+        lambda t, way=_way: _placed(sort(t("customers").select("tier", "cust_row"), f"tier:{way}, cust_row")),
+        f"SELECT tier, cust_row, row_number() OVER (ORDER BY tier {_way} NULLS {_nulls}, cust_row) AS place FROM customers",
+    )
 _add("topk_values", lambda t: select(top_k(t("orders"), "o_totalprice:desc, o_orderkey", 50), "o_orderkey,o_totalprice"), "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50")
 _add("limit_offset", lambda t: limit(sort(t("nation"), "n_nationkey"), 5, 10), "SELECT * FROM nation ORDER BY n_nationkey LIMIT 5 OFFSET 10")
 
@@ -149,15 +162,19 @@ _add(
 )
 _add(
     "pivot_missing",
-    lambda t: pivot(t("nation").where("n_nationkey < 8").select("n_regionkey", "n_name", "n_nationkey"), "n_regionkey", "n_name", "n_nationkey"),
-    "PIVOT (SELECT n_regionkey, n_name, n_nationkey FROM nation WHERE n_nationkey < 8) ON n_name USING max(n_nationkey) GROUP BY n_regionkey",
+    lambda t: pivot(t("nation"), "n_regionkey", "n_nationkey", "n_name"),
+    "SELECT n_regionkey, " + ", ".join(f'max(n_name) FILTER (WHERE n_nationkey = {i}) AS "{i}"' for i in range(25)) + " FROM nation GROUP BY 1",
 )
 _add("unpivot_basic", lambda t: unpivot(t("supplier"), "s_suppkey", "s_acctbal,s_nationkey", "field", "value"), "SELECT s_suppkey, 's_acctbal' AS field, s_acctbal AS value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier")
 _add("unpivot_no_id", lambda t: unpivot(t("nation"), "", "n_nationkey,n_regionkey"), "SELECT 'n_nationkey' AS variable, n_nationkey AS value FROM nation UNION ALL SELECT 'n_regionkey', n_regionkey FROM nation")
 _add("unpivot_mixed_types", lambda t: unpivot(t("nation"), "n_nationkey", "n_name,n_regionkey"), "SELECT n_nationkey, 'n_name' AS variable, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'n_regionkey', CAST(n_regionkey AS VARCHAR) FROM nation")
 
 # profiles
-_add("describe_schema", lambda t: profile.describe(t("nation")).select("position", "column_name"), "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS position, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name")
+_add(
+    "describe_schema",
+    lambda t: profile.describe(t("nation")).withColumn("column_type", F.replace("column_type", F.lit("bigint"), F.lit("int"))),
+    "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS position, unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name, unnest(['int', 'string', 'int']) AS column_type",
+)
 _add(
     "null_stats",
     lambda t: profile.null_stats(t("sales").select("customer", "region", "amount", "date")).select("column_name", "n_rows", "n_nulls"),
@@ -225,6 +242,47 @@ def _nested(t: Tables) -> DataFrame:
 _add("flatten_json", _nested, 'SELECT row_id, metadata.discount AS "metadata.discount", metadata.shipping AS "metadata.shipping" FROM web_sales')
 
 
+def _columnar_json(t: Tables) -> DataFrame:
+    """One object of equally long arrays, of the 25 fixed nations."""
+    df = t("nation")
+    folder = fresh_dir(df.sparkSession, "columns").removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    rows = df.select("n_nationkey", "n_name").collect()
+    with open(f"{folder}/n.json", "w") as f:
+        json.dump({"n_nationkey": [r.n_nationkey for r in rows], "n_name": [r.n_name for r in rows]}, f)
+    return load(df.sparkSession, f"{folder}/n.json")
+
+
+_add("load_columnar_json", _columnar_json, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+
+
+def _preview(t: Tables) -> DataFrame:
+    df = t("nation")
+    folder = fresh_dir(df.sparkSession, "preview").removeprefix("file://")
+    os.makedirs(folder, exist_ok=True)
+    store(df.select("n_nationkey", "n_name"), f"{folder}/a.csv", single_file=True)
+    store(df.select("n_nationkey", "n_regionkey"), f"{folder}/b.csv", single_file=True)
+    schema = preview_schema(df.sparkSession, f"{folder}/*.csv")
+    return df.sparkSession.createDataFrame([(f.name, f.dataType.simpleString()) for f in schema], "column_name string, column_type string")
+
+
+_add("load_schema_preview", _preview, "SELECT unnest(['n_nationkey', 'n_name', 'n_regionkey']) AS column_name, unnest(['bigint', 'string', 'bigint']) AS column_type")
+
+
+def _stored_files(t: Tables) -> DataFrame:
+    """Stored files, one a nation and region, joined byte by byte into few and read again."""
+    df = t("nation")
+    folder = fresh_dir(df.sparkSession, "files")
+    store(df.repartition(7, "n_nationkey").select("n_nationkey", "n_name"), f"{folder}/in", "csv")
+    manifest = compact_paths(df.sparkSession, f"{folder}/in/*.csv", f"{folder}/out", header_lines=1)
+    if manifest.where(~F.col("valid")).count():
+        raise ValueError("a container doesn't hold what it was made of")
+    return load(df.sparkSession, f"{folder}/out")
+
+
+_add("compact_stored_files", _stored_files, "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")
+
+
 def _xml(t: Tables) -> DataFrame:
     df = t("nation")
     folder = fresh_dir(df.sparkSession, "xml").removeprefix("file://")
@@ -282,7 +340,33 @@ _add_sql("sql_string_agg", "SELECT n_regionkey, length(string_agg(n_name, ','))
 _add_sql("sql_array_literal", "SELECT n_nationkey, list_contains([1, 2, 3], n_nationkey) AS c FROM stdin", "nation")
 _add_sql("sql_json", "SELECT event_id, props ->> '$.k' AS k FROM stdin", "events")
 _add_sql("sql_group_by_all", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM stdin GROUP BY ALL", "orders")
-_add_sql("sql_division_by_zero", "SELECT n_nationkey, n_nationkey / nullif(n_regionkey, 0) AS q FROM stdin", "nation")
+_add_sql("sql_division_by_zero", "SELECT n_nationkey, n_nationkey / n_regionkey AS q, n_nationkey % (n_regionkey - 1) AS r, sum(n_nationkey) OVER (PARTITION BY n_regionkey) / n_regionkey AS s FROM stdin", "nation",
+         "SELECT n_nationkey, n_nationkey / nullif(n_regionkey, 0) AS q, n_nationkey % nullif(n_regionkey - 1, 0) AS r, sum(n_nationkey) OVER (PARTITION BY n_regionkey) / nullif(n_regionkey, 0) AS s FROM nation")
+_add_sql("sql_try_cast", "SELECT s_suppkey, TRY_CAST(s_name AS INTEGER) AS n, CAST(s_nationkey AS VARCHAR) AS k FROM stdin", "supplier")
+_add_sql("sql_approx_distinct", "SELECT abs(approx_count_distinct(o_custkey) - count(DISTINCT o_custkey)) <= 0.2 * count(DISTINCT o_custkey) AS near FROM stdin", "orders")
+_add_sql("sql_mode", "SELECT o_orderstatus IS NOT NULL AS k, mode(o_orderkey % 2 = 5) AS m FROM stdin GROUP BY 1", "orders")
+_add_sql("sql_approx_quantile", "SELECT abs(approx_quantile(o_totalprice, 0.5) - median(o_totalprice)) <= 0.05 * median(o_totalprice) AS near FROM stdin", "orders")
+_add_sql("sql_ignore_nulls", "SELECT n_nationkey, last_value(nullif(n_regionkey, 3) IGNORE NULLS) OVER (ORDER BY n_nationkey) AS v FROM stdin", "nation")
+_add_sql("sql_range_interval", "SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS n FROM stdin", "orders")
+_add_sql("sql_named_window", "SELECT n_nationkey, sum(n_nationkey) OVER w AS s, count(*) OVER w AS n FROM stdin WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)", "nation", "SELECT n_nationkey, CAST(sum(n_nationkey) OVER w AS BIGINT) AS s, count(*) OVER w AS n FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)")
+_add_sql("sql_full_using", "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM stdin WHERE n_nationkey < 15) FULL JOIN (SELECT n_nationkey AS k, n_regionkey AS b FROM stdin WHERE n_nationkey > 5) USING (k)", "nation",
+         "SELECT k, a, b FROM (SELECT n_nationkey AS k, n_name AS a FROM nation WHERE n_nationkey < 15) l FULL JOIN (SELECT n_nationkey AS k, n_regionkey AS b FROM nation WHERE n_nationkey > 5) r USING (k)")
+_add_sql("sql_union_by_name", "WITH r AS (SELECT r_regionkey AS k, r_name AS name FROM region) SELECT n_nationkey AS k, n_name || ' UNION BY NAME ' AS name FROM stdin UNION ALL BY NAME SELECT name, k, 1 AS extra FROM r ORDER BY k, name LIMIT 12", "nation")
+_add_sql("sql_sample", "SELECT count(*) BETWEEN 0 AND 25 AS fits FROM (SELECT * FROM stdin USING SAMPLE 50 PERCENT)", "nation")
+_add_sql("sql_struct_literal", "SELECT n_nationkey, {'name': n_name, 'region': n_regionkey}.name AS name, struct_extract(row_, 'region') AS r FROM (SELECT *, {'region': n_regionkey} AS row_ FROM stdin)", "nation",
+         "SELECT n_nationkey, n_name AS name, n_regionkey AS r FROM nation")
+_add_sql("sql_unpivot_statement", "UNPIVOT (SELECT s_suppkey, s_acctbal, CAST(s_nationkey AS DOUBLE) AS s_nationkey FROM stdin) ON s_acctbal, s_nationkey INTO NAME field VALUE amount", "supplier",
+         "SELECT s_suppkey, 's_acctbal' AS field, s_acctbal AS amount FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier")
+_add_sql("sql_pivot_statement", "PIVOT stdin ON o_orderstatus USING max(o_totalprice) GROUP BY o_orderpriority", "orders",
+         "SELECT o_orderpriority, " + ", ".join(f"max(o_totalprice) FILTER (WHERE o_orderstatus = '{s}') AS \"{s}\"" for s in "FOP") + " FROM orders GROUP BY 1")
+_add_sql("sql_asof", "SELECT p.event_id, c.seen FROM (SELECT user_id, event_id, ts FROM stdin WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts AS seen FROM stdin WHERE event_type = 'click') c ON p.user_id = c.user_id AND p.ts >= c.seen", "events",
+         "SELECT event_id, (SELECT max(c.ts) FROM events c WHERE c.event_type = 'click' AND c.user_id = p.user_id AND c.ts <= p.ts) AS seen FROM events p WHERE event_type = 'purchase'")
+_add_sql("sql_summarize", "SUMMARIZE stdin", "customer", None)
+QUERIES["sql_summarize"] = lambda spark, sf_dir: run_sql(spark, "SUMMARIZE stdin", spark.read.parquet(f"{sf_dir}/customer.parquet")).select("column_name", "min", "max", F.round("avg", 4).alias("avg"), "count", "null_percentage")
+SQL["sql_summarize"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS column_name, CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max, {f'round(avg({c}), 4)' if n else 'CAST(NULL AS DOUBLE)'} AS avg, count(*) AS count, round(100.0 * (count(*) - count({c})) / count(*), 2)::DOUBLE AS null_percentage FROM customer"
+    for c, n in (("c_custkey", True), ("c_name", False), ("c_nationkey", True), ("c_acctbal", True), ("c_mktsegment", False))
+)
 _add_sql("sql_nulls_last", "SELECT k FROM (SELECT nullif(n_regionkey, 0) AS k, n_nationkey FROM stdin) ORDER BY k, n_nationkey LIMIT 12", "nation")
 _add_sql("sql_generate_series", "SELECT generate_series AS i FROM generate_series(1, 10)", "region", "SELECT CAST(generate_series AS INTEGER) AS i FROM generate_series(1, 10)")
 _add_sql("sql_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM stdin) PIVOT (count(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "orders",

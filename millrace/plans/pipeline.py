@@ -41,15 +41,39 @@ def plugin(name: str, desc: str = "", args: str = "") -> Callable[[Callable[...,
 
 
 def external(df: DataFrame, command: list[str]) -> DataFrame:
-    """Rows as JSON lines through a program, a process a partition; its output lines come back as text."""
+    """Rows as JSON lines through a program, one process a partition; its output lines come back as text.
+
+    A program that ends with an error, or before it has read all lines, fails the task.
+    """
 
     def run(batches):
+        import threading
+
         import pyarrow as pa
 
-        for batch in batches:
-            lines = "".join(x + "\n" for x in batch.column(0).to_pylist())
-            got = subprocess.run(command, input=lines, capture_output=True, text=True, check=True)
-            yield pa.RecordBatch.from_arrays([pa.array(got.stdout.splitlines(), pa.string())], names=["value"])
+        process = subprocess.Popen(command, stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True, encoding="utf-8")
+        broken: list[BaseException] = []
+
+        def feed() -> None:
+            try:
+                with process.stdin as out:
+                    for batch in batches:
+                        out.writelines(x + "\n" for x in batch.column(0).to_pylist())
+            except BaseException as e:  # told to the reader
+                broken.append(e)
+
+        feeder = threading.Thread(target=feed, daemon=True)
+        feeder.start()
+        lines: list[str] = []
+        for line in process.stdout:
+            lines.append(line.rstrip("\n"))
+            if len(lines) >= 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
+                lines = []
+        feeder.join()
+        if process.wait() or broken:
+            raise subprocess.CalledProcessError(process.returncode, command) from (broken[0] if broken else None)
+        yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["value"])
 
     return df.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(run, "value string")
 

@@ -93,10 +93,14 @@ def _delimited(spark: SparkSession, files: Sequence[str], sep: str, schema, samp
     return out
 
 
-def _first_sign(path: str) -> str:
+def _first_sign(spark: SparkSession, path: str) -> str:
+    """The first sign of a file that isn't white space; of a stored table, "[" (a record a line is read as rows too)."""
+    if P.is_remote(path):
+        line = spark.read.text(path).where(F.trim(F.replace("value", F.lit("\ufeff"), F.lit(""))) != "").first()
+        return line.value.strip("\ufeff \t\r")[:1] if line else ""
     if os.path.isdir(path):
         return "["
-    with open(path.removeprefix("file:"), encoding="utf-8-sig") as f:
+    with open(path, encoding="utf-8-sig") as f:
         while ch := f.read(1):
             if not ch.isspace():
                 return ch
@@ -106,7 +110,7 @@ def _first_sign(path: str) -> str:
 def read_json(spark: SparkSession, files: Sequence[str], flat: bool = True) -> DataFrame:
     """JSON files that hold an array of objects, one object, or one object of equally long arrays."""
     frames = []
-    objects = [f for f in files if "://" not in f and _first_sign(f) == "{"]
+    objects = [f for f in files if _first_sign(spark, f) == "{"]
     arrays = [f for f in files if f not in objects]
     if arrays:
         frames.append(spark.read.option("multiLine", "true").json(arrays))
@@ -169,12 +173,16 @@ def from_arrow(spark: SparkSession, table: pa.Table) -> DataFrame:
 
 def read_arrow(spark: SparkSession, files: Sequence[str]) -> DataFrame:
     """Arrow IPC files or streams."""
+    from pyarrow import fs as pafs
+
     frames = []
     for f in files:
-        f = f.removeprefix("file://")
-        parts = [os.path.join(f, n) for n in sorted(os.listdir(f)) if not n.startswith(("_", "."))] if os.path.isdir(f) else [f]
+        system, at = pafs.FileSystem.from_uri(f) if P.is_remote(f) else (pafs.LocalFileSystem(), os.path.abspath(f))
+        parts = [at]
+        if system.get_file_info(at).type == pafs.FileType.Directory:
+            parts = sorted(x.path for x in system.get_file_info(pafs.FileSelector(at)) if not x.base_name.startswith(("_", ".")))
         for part in parts:
-            with pa.memory_map(part) as source:
+            with system.open_input_file(part) as source:
                 try:
                     table = pa.ipc.open_file(source).read_all()
                 except pa.ArrowInvalid:
@@ -251,7 +259,7 @@ def load(
     """
     if isinstance(source, str) and P.is_url(source):
         source = fetch(spark, source)
-    plain = isinstance(source, str) and not P.has_wildcard(source) and not os.path.isdir(source)
+    plain = isinstance(source, str) and not P.has_wildcard(source) and (bool(P.format_of(source, "")) if P.is_remote(source) else not os.path.isdir(source))
     files = P.resolve(source, None if plain else fmt, max_files, recursive)
     groups: dict[str, list[str]] = {}
     for f in files:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 import shutil
@@ -10,17 +11,47 @@ import uuid
 from typing import BinaryIO, TextIO
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 
 from millrace.sources.flatten import nested_to_json
-from millrace.sources.paths import format_of
+from millrace.sources.paths import format_of, is_remote
 
 _FLAT = {"header": "true", "emptyValue": "", "nullValue": "", "quote": '"', "escape": '"'}
 
 
+def _sink(path: str):
+    """A binary file to write, on any file system pyarrow knows."""
+    if is_remote(path):
+        system, at = pafs.FileSystem.from_uri(path)
+        return system.open_output_stream(at, compression=None)
+    return open(path, "wb")
+
+
+def _only_part(spark, folder: str, path: str) -> None:
+    """Makes the one file of a written folder the file ``path``."""
+    if is_remote(path):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path
+        system = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        parts = [s.getPath() for s in system.listStatus(hadoop(folder)) if s.getPath().getName().startswith("part-")]
+        system.delete(hadoop(path), True)
+        if parts:
+            system.rename(parts[0], hadoop(path))
+        else:
+            system.create(hadoop(path)).close()
+        system.delete(hadoop(folder), True)
+        return
+    part = next((n for n in sorted(os.listdir(folder)) if n.startswith("part-")), None)
+    if part is not None:
+        os.replace(os.path.join(folder, part), path)
+    else:
+        open(path, "w").close()
+    shutil.rmtree(folder)
+
+
 def write_json_array(df: DataFrame, path: str, indent: int = 2) -> None:
     """One pretty array of objects. Rows pass the driver one partition at a time: for large results use jsonl."""
-    with open(path, "w", encoding="utf-8") as out:
+    with _sink(path) as raw, io.TextIOWrapper(raw, encoding="utf-8") as out:
         out.write("[")
         for i, row in enumerate(df.toJSON().toLocalIterator()):
             pretty = json.dumps(json.loads(row), indent=indent, ensure_ascii=False)
@@ -31,7 +62,7 @@ def write_json_array(df: DataFrame, path: str, indent: int = 2) -> None:
 def write_arrow(df: DataFrame, path: str) -> None:
     """An Arrow IPC stream. Rows pass the driver: for large results use parquet."""
     table = df.toArrow()
-    with pa.OSFile(path, "wb") as sink, pa.ipc.new_stream(sink, table.schema) as out:
+    with _sink(path) as sink, pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
 
 
@@ -83,12 +114,7 @@ def store(
     else:
         raise ValueError(f"unknown format {fmt!r}")
     if single_file:
-        part = next((n for n in sorted(os.listdir(target)) if n.startswith("part-")), None)
-        if part is not None:
-            os.replace(os.path.join(target, part), path)
-        else:
-            open(path, "w").close()
-        shutil.rmtree(target)
+        _only_part(df.sparkSession, target, path)
     return None
 
 

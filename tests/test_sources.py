@@ -77,10 +77,10 @@ def test_json_shapes(spark, folder):
 
 
 def test_xml(spark, folder):
-    doc = '<topology><gateway><provider><role>authentication</role><name>Shiro</name></provider><provider><role>identity</role></provider></gateway><service on="true"><role>WEB</role></service></topology>'
+    doc = '<harbour><quay><berth><length>90</length><ship>Alba</ship></berth><berth><length>120</length></berth></quay><tide high="7"><hour>6</hour></tide></harbour>'
     got = records(doc)
-    assert {"gateway.provider.role": "authentication", "gateway.provider.name": "Shiro"}.items() <= next(r for r in got if r.get("gateway.provider.name")).items()
-    assert len(got) == 2 and all(r["service.role"] == "WEB" and r["service.on"] == "true" for r in got)
+    assert {"quay.berth.length": "90", "quay.berth.ship": "Alba"}.items() <= next(r for r in got if r.get("quay.berth.ship")).items()
+    assert len(got) == 2 and all(r["tide.hour"] == "6" and r["tide.high"] == "7" for r in got)
     df = load(spark, folder("r.xml", "<rs><r><id>1</id><n>a</n></r><r><id>2</id><n/></r></rs>"))
     assert sorted((r["r.id"], r["r.n"]) for r in df.collect()) == [(1, "a"), (2, None)]
     assert records("<a>x</a>") == [{"value": "x"}] and records("<a><t>1</t><t>2</t><u k='3'>v</u></a>") == [{"u.k": "3", "u._text": "v", "t": "1"}, {"u.k": "3", "u._text": "v", "t": "2"}]
@@ -117,3 +117,27 @@ def test_lines(spark, capsys):
     assert capsys.readouterr().out == "a,b\n1,x\n2,\n"
     assert read_lines(spark, ['{"a": [1, 2]}'], "json").count() == 2
     assert os.path.sep
+
+
+def test_sources_with_a_scheme(spark, tmp_path):
+    """Paths that name their file system: patterns, folders, one file, stored tables, and writing."""
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, name string")
+    root = f"file://{tmp_path}"
+    for at in ("x/one.csv", "x/deep/two.csv", "three.csv"):
+        store(df, f"{root}/{at}", single_file=True)
+    store(df, f"{root}/x/table.parquet")
+    store(df, f"{root}/x/rows.json")
+    store(df, f"{root}/x/rows.arrow")
+    count = lambda source, **more: load(spark, source, **more).count()
+    assert count(f"{root}/x/one.csv") == 2 and count(f"{root}/**/*.csv") == 6 and count(f"{root}/x/*.csv") == 2 and count(f"{root}/[!x]*.csv") == 2
+    assert count(f"{root}/x/table.parquet") == 2 and count(f"{root}/x/rows.json") == 2 and count(f"{root}/x/rows.arrow") == 2
+    assert count(f"{root}/x", fmt="csv") == 4 and count(f"{root}/x", fmt="csv", recursive=False) == 2 and count(f"{root}/x", fmt="parquet") == 2
+    with pytest.raises(FileNotFoundError):
+        load(spark, f"{root}/x/*.tsv")
+
+
+def test_patterns_follow_the_shell():
+    from millrace.sources.paths import pattern_of
+
+    for pattern, good, bad in (("a/*.csv", ["a/x.csv"], ["a/b/x.csv"]), ("a/**/*.csv", ["a/x.csv", "a/b/c/x.csv"], ["b/x.csv"]), ("a/?.c", ["a/x.c"], ["a/xy.c"]), ("[ab]!.c", ["a!.c"], ["c!.c"]), ("[!ab].c", ["c.c"], ["a.c"])):
+        assert all(pattern_of(pattern).fullmatch(x) for x in good) and not any(pattern_of(pattern).fullmatch(x) for x in bad)

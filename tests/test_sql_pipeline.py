@@ -42,7 +42,7 @@ def test_dialect(spark, t, query, want):
 
 
 def test_sql_errors_and_extras(spark, t, tmp_path):
-    for bad in ("", "  ;", "SELECT * FROM a ASOF JOIN b USING (k)", "SELECT strftime(x, '%Q') FROM t"):
+    for bad in ("", "  ;", "SELECT * FROM a POSITIONAL JOIN b", "SELECT strftime(x, '%Q') FROM t"):
         with pytest.raises(SqlError):
             translate(bad)
     assert run_sql(spark, "SUMMARIZE stdin", t).count() == 4
@@ -113,3 +113,50 @@ def test_streams(spark, tmp_path):
     out = []
     run_once(window_group(stream, "at", "10 minutes", [F.sum("n").alias("s")], late="1 minute"), lambda df, _: out.extend(df.collect()), str(tmp_path / "cp"), "complete")
     assert sorted(r.s for r in out) == [35, 145]
+
+
+def test_programs_run_once_a_partition(spark):
+    import subprocess
+
+    from millrace.plans.pipeline import external
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        df = spark.range(100).repartition(2)
+        assert sorted(int(r.value) for r in external(df, ["wc", "-l"]).collect())[0] > 10  # all batches of a partition, one process
+        assert external(df, ["cat"]).count() == 100
+        with pytest.raises(Exception, match="non-zero exit|CalledProcess"):
+            external(df, ["false"]).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert subprocess is not None
+
+
+def test_failed_casts_are_errors_and_settings_stay(spark):
+    from millrace.plans.sql import run_sql
+
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        run_sql(spark, "SELECT CAST(v AS INTEGER) AS n FROM stdin", spark.createDataFrame([("x",)], "v string")).collect()
+    assert run_sql(spark, "SELECT TRY_CAST(v AS INTEGER) AS n, 5 / 0 AS q, 7 // (1 - 1) AS d FROM stdin", spark.createDataFrame([("x",)], "v string")).first() == (None, None, None)
+    assert spark.conf.get("spark.sql.ansi.enabled") == before
+
+
+def test_asof_join_in_sql(spark):
+    from millrace.plans.sql import run_sql
+
+    spark.createDataFrame([("a", 1), ("a", 5), ("b", 2), (None, 3)], "k string, t int").createOrReplaceTempView("trades")
+    spark.createDataFrame([("a", 0, 10.0), ("a", 4, 11.0), ("b", 3, 12.0)], "k string, t int, price double").createOrReplaceTempView("quotes")
+    got = sorted(tuple(r) for r in run_sql(spark, "SELECT q.k, q.t, p.price FROM trades q ASOF JOIN quotes p ON q.k = p.k AND q.t >= p.t").collect())
+    assert got == [("a", 1, 10.0), ("a", 5, 11.0)]
+    out = run_sql(spark, "SELECT * FROM trades ASOF LEFT JOIN quotes USING (k, t) WHERE t > 1")
+    assert out.columns == ["k", "t", "price"] and sorted((tuple(r) for r in out.collect()), key=str) == [("a", 5, 11.0), ("b", 2, None), (None, 3, None)]
+    with pytest.raises(ValueError, match="latest row"):
+        run_sql(spark, "SELECT 1 FROM trades q ASOF JOIN quotes p ON q.k = p.k AND q.t <= p.t")
+
+
+def test_unions_by_name_outside_literals(spark):
+    from millrace.plans.sql import run_sql
+
+    out = run_sql(spark, "WITH a AS (SELECT 1 AS x) SELECT x, 'UNION BY NAME' AS t FROM a UNION BY NAME SELECT 'z' AS t, 2 AS x ORDER BY x DESC")
+    assert [(r.x, r.t) for r in out.collect()] == [(2, "z"), (1, "UNION BY NAME")]
