@@ -199,6 +199,36 @@ def _cell(rule: str) -> str:
 
 _SALES_RE = r"\A" + ",".join([_FREE] * 3 + [_cell(_NUM), _FREE]) + r"\z"
 _CUST_RE = r"\A" + ",".join([_FREE, _cell(_MAIL), _FREE, _FREE]) + r"\z"
+_COLUMNS = {"sales": ("customer", "region", "product", "amount", "date"), "customers": ("customer", "email", "tier", "signup_date")}
+_RULES = {"amount": _cell(_NUM), "email": _cell(_MAIL)}
+
+
+def _broken(tab: str, n: int) -> str:
+    """SQL for a record's first broken field and what is wrong with it, nulls where it is sound."""
+    names = _COLUMNS[tab]
+    ruled = [_RULES.get(c, _FREE) for c in names]
+    cases = []
+    for k in range(1, n + 1):
+        before, free = ",".join(ruled[: k - 1]), ",".join([_FREE] * k)
+        why = f"WHEN NOT regexp_matches(record_text, '\\A{free}(?:,|\\z)', 's') THEN 'broken_quoting' ELSE 'invalid_value'"
+        ended = f"WHEN regexp_matches(record_text, '\\A{','.join([_FREE] * (k - 1))}\\z', 's') THEN 'missing_field' " if k > 1 else ""
+        cases.append(f"WHEN NOT regexp_matches(record_text, '\\A{','.join(ruled[:k])}(?:,|\\z)', 's') THEN {{'f': '{names[k - 1]}', 'r': CASE {ended}{why} END}}")
+    return f"CASE {' '.join(cases)} WHEN NOT regexp_matches(record_text, '\\A{','.join(ruled)}\\z', 's') THEN {{'f': '', 'r': 'extra_fields'}} ELSE {{'f': NULL, 'r': NULL}} END"
+
+
+def _typed_sql(tab: str, whole: str, columns: dict[str, int], kinds: dict[str, str]) -> str:
+    """SQL for the sound records of a table as typed columns; of columns marked 1 outer blanks go."""
+    ruled = [_RULES.get(c, _FREE) for c in columns]
+    groups = ",".join(f"({r})" for r in ruled)
+    cells = ", ".join(f"regexp_extract(record_text, '\\A{groups}\\z', {i}, 's') AS c{i}" for i in range(1, len(ruled) + 1))
+    bare = lambda i: f"CASE WHEN starts_with(c{i}, '\"') THEN replace(c{i}[2:-2], '\"\"', '\"') ELSE c{i} END"
+    out = []
+    for i, (c, trimmed) in enumerate(columns.items(), start=1):
+        value = f"CASE WHEN trim({bare(i)}) <> '' THEN {f'trim({bare(i)})' if trimmed else bare(i)} END"
+        out.append(f"TRY_CAST({value} AS {kinds[c]}) AS {c}" if c in kinds else f"{value} AS {c}")
+    return f"SELECT raw_id, {', '.join(out)} FROM (SELECT raw_id, {cells} FROM raw_rows WHERE tab_name = '{tab}' AND regexp_matches(record_text, '{whole}', 's'))"
+
+
 _REFS = f"""
     SELECT 'sales' AS tab_name, row_id, {_key("customer")} AS k, loaded_at FROM sales
     UNION ALL SELECT 'web_sales', row_id, {_key("customer")}, loaded_at FROM web_sales"""
@@ -252,6 +282,11 @@ SQL: dict[str, str] = {
         SELECT field_name, key_value FROM (SELECT *, sum(n) OVER (PARTITION BY field_name) AS s FROM t) WHERE n >= 0.03 * s""",
     "p3_found": f"""SELECT raw_id FROM raw_rows WHERE record_text IS NULL OR NOT CASE tab_name
         WHEN 'sales' THEN regexp_matches(record_text, '{_SALES_RE}', 's') WHEN 'customers' THEN regexp_matches(record_text, '{_CUST_RE}', 's') ELSE false END""",
+    "p3_reasons": f"""WITH marked AS (SELECT raw_id, tab_name, record_text, {_broken("sales", 5)} AS s, {_broken("customers", 4)} AS c FROM raw_rows),
+        told AS (SELECT raw_id, tab_name, CASE WHEN record_text IS NULL THEN {{'f': NULL, 'r': 'null_record'}} WHEN tab_name = 'sales' THEN s WHEN tab_name = 'customers' THEN c ELSE {{'f': NULL, 'r': 'unknown_table'}} END AS t FROM marked)
+        SELECT raw_id, tab_name, t.f AS broken_field, t.r AS reason FROM told WHERE t.r IS NOT NULL""",
+    "p3_sales": _typed_sql("sales", _SALES_RE, {"customer": 0, "region": 0, "product": 0, "amount": 1, "date": 0}, {"amount": "DOUBLE"}),
+    "p3_customers": _typed_sql("customers", _CUST_RE, {"customer": 0, "email": 1, "tier": 0, "signup_date": 0}, {}),
     "p4_found": f"WITH {_ORPHANS} SELECT tab_name, row_id FROM orphans",
     "p4_report": f"""WITH {_ORPHANS}, kinds AS (SELECT tab_name, strftime(loaded_at, '%Y-%m') AS month, count(*) AS n_orphans,
             count(*) FILTER (WHERE EXISTS (SELECT 1 FROM par p WHERE p.k = o.k AND p.lo <= o.loaded_at AND (p.hi IS NULL OR p.hi > p.lo))) AS n_ended
