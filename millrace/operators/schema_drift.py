@@ -37,7 +37,7 @@ _TYPES = ("long", "double", "date")
 _LONG = re.compile(r"[+-]?[0-9]+")
 _DOUBLE = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)")
 _DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
-_STATS = "file_id bigint, pos int, n_cells bigint, n_full bigint, n_long bigint, n_double bigint, n_date bigint"
+_FACTS = "file_id bigint, pos int, _feed string, name string, field string, sign string, n bigint, n_long bigint, n_double bigint, n_date bigint"
 _CHANGES = "file_id bigint, field_name string, change_kind string, old_name string, new_name string, old_type string, new_type string"
 
 
@@ -57,51 +57,6 @@ def header_names(header: str | None, delim: str | None) -> list[str]:
     return [x.strip().strip('"').strip().lower() for x in split_line(header.lstrip("\ufeff"), delim or ",")]
 
 
-def _cell_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per file and column of a batch: cells, non-empty ones, and how many of these fit each type."""
-    kinds: dict[str, tuple[bool, bool, bool]] = {}
-    for batch in batches:
-        stats: dict[tuple[int, int], list[int]] = {}
-        for file_id, delim, line in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
-            if line is None or file_id is None:
-                continue
-            for pos, cell in enumerate(split_line(line, delim or ",")):
-                s = stats.get((file_id, pos))
-                if s is None:
-                    s = stats[file_id, pos] = [0, 0, 0, 0, 0]
-                s[0] += 1
-                if cell:
-                    fits = kinds.get(cell)
-                    if fits is None:
-                        if len(kinds) > 200_000:
-                            kinds.clear()
-                        fits = kinds[cell] = (bool(_LONG.fullmatch(cell)), bool(_DOUBLE.fullmatch(cell)), bool(_DATE.fullmatch(cell)))
-                    s[1] += 1
-                    s[2] += fits[0]
-                    s[3] += fits[1]
-                    s[4] += fits[2]
-        keys, values = list(stats), list(stats.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int32())]
-            + [pa.array([v[i] for v in values], pa.int64()) for i in range(5)],
-            names=["file_id", "pos", "n_cells", "n_full", "n_long", "n_double", "n_date"],
-        )
-
-
-def column_types(files: DataFrame, lines: DataFrame) -> DataFrame:
-    """``file_id, types``: for each file with cells, a map of column position to type (without non-empty cells: absent)."""
-    sep = files.select("file_id", "delim")
-    cells = lines.select("file_id", "line_text").join(sep, "file_id").select("file_id", "delim", "line_text")
-    stats = cells.mapInArrow(_cell_stats, _STATS)
-    total = stats.groupBy("file_id", "pos").agg(*[F.sum(f"n_{x}").alias(f"n_{x}") for x in ("full", *_TYPES)])
-    kind: Column = F.lit("string")
-    for t in reversed(_TYPES):
-        kind = F.when(F.col(f"n_{t}") == F.col("n_full"), t).otherwise(kind)
-    typed = total.where("n_full > 0").withColumn("kind", kind)
-    # one entry a column of a file: as small as the file's header
-    return typed.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("types"))
-
-
 _MONEY = re.compile(r"(?:[A-Z]{3} ?)?([+-]?[0-9][0-9,]*\.?[0-9]*|[+-]?\.[0-9]+)(?: ?[A-Z]{3})?")
 _DAY = re.compile(r"[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}.*|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}|(?:19|20)[0-9]{2}[01][0-9][0-3][0-9]|1[0-9]{9}(?:[0-9]{3})?")
 _CODE = re.compile(r"[0-9]{4,9}")
@@ -121,11 +76,79 @@ def _sign(cell: str) -> str:
     return f"N{'-' if value < 0 else ''}{math.floor(2 * math.log10(min(abs(value), 1e300) + 1))}"
 
 
+def _facts(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+    """What one pass over all lines tells: ``_FACTS``, written once.
+
+    Rows with a file_id count, per file and column, the non-empty cells and those that fit each type;
+    rows with a sign count how often it occurs in a feed's column of an unlisted name, or in a field.
+    """
+    head = files.select("file_id", _feed_key(), "delim", "header_line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict[str, tuple[int, int, int, str, str | None]] = {}
+        counts: dict[tuple, int] = {}
+        kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        names = [c.split()[0] for c in _FACTS.split(", ")]
+
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
+
+        for batch in batches:
+            fits: dict[tuple[int, int], list[int]] = {}
+            for file_id, feed, delim, header, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if line is None:
+                    continue
+                owners = _owners(feed, header, delim, known)
+                for pos, cell in enumerate(split_line(line, delim or ",")):
+                    if not cell:
+                        continue
+                    told = cells.get(cell)
+                    if told is None:
+                        if len(cells) > 200_000:
+                            cells.clear()
+                        sign = _sign(cell)
+                        # a number that may be a code is told by its digits too
+                        code = "X" + cell if sign[0] == "N" and _CODE.fullmatch(cell) else None
+                        told = cells[cell] = (_LONG.fullmatch(cell) is not None, _DOUBLE.fullmatch(cell) is not None, _DATE.fullmatch(cell) is not None, sign, code)
+                    f = fits.get((file_id, pos))
+                    if f is None:
+                        f = fits[file_id, pos] = [0, 0, 0, 0]
+                    f[0] += 1
+                    f[1] += told[0]
+                    f[2] += told[1]
+                    f[3] += told[2]
+                    if pos < len(owners):
+                        for sign in told[3:]:
+                            if sign is not None:
+                                key = (*owners[pos], sign)
+                                counts[key] = counts.get(key, 0) + 1
+            yield out([(*k, None, None, None, None, *v) for k, v in fits.items()])
+            if len(counts) > 200_000:
+                yield out([(None, None, *k, n, 0, 0, 0) for k, n in counts.items()])
+                counts = {}
+        yield out([(None, None, *k, n, 0, 0, 0) for k, n in counts.items()])
+
+    cells = lines.select("file_id", "line_text").join(head, "file_id").select("file_id", "_feed", "delim", "header_line", "line_text")
+    keys = ["file_id", "pos", "_feed", "name", "field", "sign"]
+    sums = [F.sum(c).alias(c) for c in ("n", "n_long", "n_double", "n_date")]
+    return cut_lineage(cells.mapInArrow(run, _FACTS).groupBy(*keys).agg(*sums))
+
+
+def column_types(facts: DataFrame) -> DataFrame:
+    """``file_id, types``: for each file with cells, a map of column position to type (without non-empty cells: absent)."""
+    kind: Column = F.lit("string")
+    for t in reversed(_TYPES):
+        kind = F.when(F.col(f"n_{t}") == F.col("n"), t).otherwise(kind)
+    typed = facts.where(F.col("file_id").isNotNull()).withColumn("kind", kind)
+    # one entry a column of a file: as small as the file's header
+    return typed.groupBy("file_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "kind"))).alias("types"))
+
+
 def _feed_key() -> Column:
     return F.when(F.col("feed").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("feed").cast("string"))).alias("_feed")
 
 
-def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
+def column_ties(files: DataFrame, facts: DataFrame, known: tuple[tuple[str, tuple[str, ...]], ...]) -> DataFrame:
     """``_feed, ties``: for each feed, what it costs to take columns of unlisted names for fields, as JSON of [name, field, cost].
 
     A column is likened by its cells over all files of its feed to the columns that hold a field
@@ -151,30 +174,7 @@ def column_ties(files: DataFrame, lines: DataFrame, known: tuple[tuple[str, tupl
     elsewhere = pairs.groupBy("name", "field").agg((F.sum("beside") / F.sum("n")).alias("against"))
     open_ = pairs.where("beside = 0").join(elsewhere, ["name", "field"]).select("_feed", "name", "field", "against", "near")
 
-    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            keys = list(counts)
-            columns = [pa.array([k[i] for k in keys], pa.string()) for i in range(4)]
-            return pa.RecordBatch.from_arrays([*columns, pa.array(list(counts.values()), pa.int64())], names=["_feed", "name", "field", "sign", "n"])
-
-        counts: dict[tuple, int] = {}
-        for batch in batches:
-            for feed, delim, header, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                owners = _owners(feed, header, delim, known)
-                for owner, cell in zip(owners, split_line(line, delim or ",")):
-                    if cell:
-                        sign = _sign(cell)
-                        counts[*owner, sign] = counts.get((*owner, sign), 0) + 1
-                        if sign[0] == "N" and _CODE.fullmatch(cell):  # may be a code: told by its digits too
-                            counts[*owner, "X" + cell] = counts.get((*owner, "X" + cell), 0) + 1
-            if len(counts) > 200_000:
-                yield out()
-                counts = {}
-        yield out()
-
-    told = lines.select("file_id", "line_text").join(head, "file_id").select("_feed", "delim", "header_line", "line_text")
-    told = told.mapInArrow(signs, "_feed string, name string, field string, sign string, n bigint")
-    told = cut_lineage(told.groupBy("_feed", "name", "field", "sign").agg(F.sum("n").alias("n")))
+    told = facts.where(F.col("sign").isNotNull()).select("_feed", "name", "field", "sign", "n")
     of_field = told.where("field is not null").select("field", "sign", "n", F.col("n").alias("n_f"))
     once = F.when(~F.col("sign").startswith("X"), F.col("n"))
     of_field = of_field.join(of_field.groupBy("field").agg(F.coalesce(F.sum(once), F.lit(1)).alias("all_f")), "field").select("field", "sign", (F.col("n_f") / F.col("all_f")).alias("p_f"))
@@ -211,9 +211,9 @@ def _owners(feed: str, header: str | None, delim: str | None, known: tuple[tuple
     return tuple((feed, n, None) if b is None else (None, None, b) for n, b in zip(names, _bind(names, "", known), strict=True))
 
 
-def _tied(files: DataFrame, lines: DataFrame, known) -> DataFrame:
+def _tied(files: DataFrame, facts: DataFrame, known) -> DataFrame:
     """``files`` with ``ties`` of their feeds, empty where there are none."""
-    found = column_ties(files, lines, known)
+    found = column_ties(files, facts, known)
     return files.withColumn("_feed", _feed_key()).join(found, "_feed", "left").drop("_feed").withColumn("ties", F.coalesce("ties", F.lit("")))
 
 
@@ -304,8 +304,9 @@ def drift_report(files: DataFrame, lines: DataFrame, fields: Mapping[str, tuple[
     numbers are taken in the order of file_id; a null feed is a feed, a null number comes first.
     """
     known = _known(fields)
-    meta = _tied(files, lines, known).select("file_id", "feed", F.coalesce("seq_no", F.lit(-1)).cast("long").alias("seq_no"), "delim", "header_line", "ties")
-    every = meta.join(column_types(files, lines), "file_id", "left").withColumn("blk", F.floor(F.col("seq_no") / block))
+    facts = _facts(files, lines, known)
+    meta = _tied(files, facts, known).select("file_id", "feed", F.coalesce("seq_no", F.lit(-1)).cast("long").alias("seq_no"), "delim", "header_line", "ties")
+    every = meta.join(column_types(facts), "file_id", "left").withColumn("blk", F.floor(F.col("seq_no") / block))
     every = every.withColumn("types", F.map_entries("types"))
     every = every.withColumn("types", F.transform("types", lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"))))
     state_type = "feed string, blk bigint, cols array<struct<f:string,n:string,k:string>>, last array<struct<f:string,k:string>>"
@@ -345,7 +346,9 @@ def drift_report(files: DataFrame, lines: DataFrame, fields: Mapping[str, tuple[
     every = cut_lineage(every)  # a row a file: read once for the blocks' states and once for the changes
     many = every.groupBy("feed").agg(F.min("blk").alias("lo"), F.max("blk").alias("hi")).where("hi > lo")
     if many.isEmpty():
-        return every.groupBy("feed", "blk").applyInPandas(first_block, _CHANGES)
+        # few bytes but much work: a given number of partitions, which adaptive execution doesn't coalesce
+        spread = every.repartition(max(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * files.sparkSession.sparkContext.defaultParallelism), "feed", "blk")
+        return spread.groupBy("feed", "blk").applyInPandas(first_block, _CHANGES)
     long = many.select(F.col("feed").alias("_feed"))
     blocked = every.join(long, F.col("feed").eqNullSafe(F.col("_feed")), "left_semi")
     states = blocked.groupBy("feed", "blk").applyInPandas(summary, state_type).groupBy("feed").applyInPandas(carry, state_type)
@@ -392,7 +395,7 @@ def consistent_table(files: DataFrame, lines: DataFrame, fields: Mapping[str, tu
     known = _known(fields)
     if "feed" not in files.columns:
         files = files.withColumn("feed", F.lit(None).cast("string"))
-    head = _tied(files, lines, known).select("file_id", "delim", "header_line", "ties", *([F.col(date_of_path).alias("_path_date")] if date_of_path else []))
+    head = _tied(files, _facts(files, lines, known), known).select("file_id", "delim", "header_line", "ties", *([F.col(date_of_path).alias("_path_date")] if date_of_path else []))
     joined = lines.select("file_id", "line_no", "line_text").join(head, "file_id")
     kind = "file_id bigint, line_no int, " + ", ".join(f"{f} string" for f in fields) + ", others map<string,string>"
     if not date_of_path or "date" not in fields:
