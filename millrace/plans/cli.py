@@ -6,11 +6,12 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
 
 from millrace.operators.profile import render
-from millrace.plans.pipeline import PLUGINS, Pipeline, load_plugins
+from millrace.plans.pipeline import PLUGINS, Pipeline, load_plugins, log_run, logged_runs
 from millrace.session import local_session
 from millrace.sources.read import preview_schema, read_lines
 from millrace.sources.write import print_arrow, print_csv
@@ -68,12 +69,15 @@ def _parser() -> argparse.ArgumentParser:
     p.add_argument("args", nargs="*")
     p = sub.add_parser("store", help="write a file (none: CSV on standard output)")
     p.add_argument("path", nargs="?")
-    p = sub.add_parser("save", help="keep the steps before as a plugin instead of running them")
+    p = sub.add_parser("save", help="keep the steps before, or those of the last run, as a plugin instead of running them")
     p.add_argument("name")
+    p.add_argument("--last", action="store_true")
     p.add_argument("--desc", default="")
     p = sub.add_parser("view", help="show the first rows as a grid")
     p.add_argument("-n", type=int, default=20)
     sub.add_parser("plugins", help="list plugins")
+    p = sub.add_parser("history", help="list the last runs, latest first")
+    p.add_argument("-n", type=int, default=20)
     return top
 
 
@@ -136,9 +140,19 @@ def main(argv: list[str] | None = None) -> int:
     arrow = "--output=arrow" in argv
     steps = parse([a for a in argv if a not in ("--output=arrow", "--output=csv")])
     folder = os.environ.get("MILLRACE_PLUGINS", os.path.expanduser("~/.millrace/plugins"))
+    history = os.environ.get("MILLRACE_HISTORY", os.path.expanduser("~/.millrace/history.jsonl"))
     load_plugins(folder)
     if steps[-1].step == "save":
-        print(pipeline_of(steps[:-1]).save_as_plugin(steps[-1].name, folder, steps[-1].desc))
+        kept = pipeline_of(steps[:-1])
+        if steps[-1].last:
+            runs = logged_runs(history, 1)
+            if not runs:
+                raise SystemExit("no run is logged")
+            kept = Pipeline.from_json(json.dumps(runs[0]["steps"]))
+        print(kept.save_as_plugin(steps[-1].name, folder, steps[-1].desc))
+        return 0
+    if steps[0].step == "history":
+        print("\n".join(f"{r['at']} {r['command']}" for r in logged_runs(history, steps[0].n)))
         return 0
     if steps[0].step == "plugins":
         print("\n".join(f"{p.name:<20} {p.desc} {p.args}".rstrip() for p in PLUGINS.values()))
@@ -152,7 +166,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     starts = first.step in ("run", "sql", "join") or (first.step == "load" and first.source)
     df = None if starts else read_lines(spark, sys.stdin.read().splitlines())
-    out = pipeline_of(steps).build(spark, df)
+    pipeline = pipeline_of(steps)
+    log_run(history, argv, pipeline)
+    out = pipeline.build(spark, df)
     last = steps[-1]
     if last.step == "view":
         print(render(out, last.n))

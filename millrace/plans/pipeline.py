@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shlex
 import subprocess
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -172,6 +174,30 @@ def load_plugins(folder: str) -> list[str]:
     return names
 
 
+def log_run(path: str, command: list[str], pipeline: Pipeline) -> None:
+    """Appends a command and its steps to the log, a JSON line each; a log that can't be written is no error."""
+    try:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        with open(path, "a", encoding="utf-8") as f:
+            f.write(json.dumps({"at": time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()), "command": shlex.join(command), "steps": pipeline.steps}) + "\n")
+    except OSError:
+        pass
+
+
+def logged_runs(path: str, n: int = 20) -> list[dict]:
+    """The last ``n`` entries of the log, latest first; lines that aren't whole are passed over."""
+    if not os.path.exists(path):
+        return []
+    out = []
+    with open(path, encoding="utf-8") as f:
+        for line in f:
+            try:
+                out.append(json.loads(line))
+            except ValueError:
+                continue
+    return out[::-1][:n]
+
+
 @plugin("inventory", "a small stock list", "")
 def inventory(spark: SparkSession | DataFrame) -> DataFrame:
     session = spark if isinstance(spark, SparkSession) else spark.sparkSession

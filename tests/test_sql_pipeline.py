@@ -80,6 +80,8 @@ def test_plugins(spark, t):
 
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("millrace.plans.cli.local_session", lambda: spark)
+    monkeypatch.setenv("MILLRACE_HISTORY", str(tmp_path / "log" / "history.jsonl"))
+    monkeypatch.setenv("MILLRACE_PLUGINS", str(tmp_path / "none"))
     src = tmp_path / "s.csv"
     src.write_text("region,amount\nwest,10\neast,5\nwest,7\n")
     assert main(["load", str(src), "then", "filter", "amount > 5", "then", "group", "region", "--sum", "amount", "--count", "1"]) == 0
@@ -95,6 +97,15 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert capsys.readouterr().out == "region | amount\n-------+-------\nwest   | 10\n"
     main(["load", str(src), "then", "store"])
     assert capsys.readouterr().out.startswith("region,amount\n")
+    main(["history", "-n", "2"])
+    said = capsys.readouterr().out.splitlines()
+    assert len(said) == 2 and said[0].endswith("then store") and "run large then view" in said[1]
+    main(["load", str(src), "then", "filter", "amount > 6"])
+    main(["save", "again", "--last"])
+    assert json.loads((tmp_path / "kept" / "again.json").read_text())["steps"][1] == {"step": "filter", "text": "amount > 6"}
+    (tmp_path / "log" / "history.jsonl").open("a").write('{"broken')
+    main(["history"])
+    assert len(capsys.readouterr().out.splitlines()) > 5
     main(["plugins"])
     assert "inventory" in capsys.readouterr().out
     steps = parse(["join", "a.csv", "b.csv", "--on", "k", "then", "pivot", "--index", "a", "--column", "b", "--values", "c", "then", "unpivot", "--values", "x,y", "then", "head", "-n", "3", "then", "nulls"])
