@@ -19,7 +19,7 @@ from functools import lru_cache
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.schema_tree import FORBIDDEN, Node, edit_script
@@ -171,22 +171,24 @@ def column_ties(files: DataFrame, facts: DataFrame, known: tuple[tuple[str, tupl
 
     pairs = head.select("_feed", "delim", "header_line").mapInArrow(beside, "_feed string, name string, field string, beside bigint, near double")
     pairs = cut_lineage(pairs.groupBy("_feed", "name", "field").agg(F.count(F.lit(1)).alias("n"), F.sum("beside").alias("beside"), F.max("near").alias("near")))
-    elsewhere = pairs.groupBy("name", "field").agg((F.sum("beside") / F.sum("n")).alias("against"))
-    open_ = pairs.where("beside = 0").join(elsewhere, ["name", "field"]).select("_feed", "name", "field", "against", "near")
-
-    told = facts.where(F.col("sign").isNotNull()).select("_feed", "name", "field", "sign", "n")
-    of_field = told.where("field is not null").select("field", "sign", "n", F.col("n").alias("n_f"))
-    once = F.when(~F.col("sign").startswith("X"), F.col("n"))
-    of_field = of_field.join(of_field.groupBy("field").agg(F.coalesce(F.sum(once), F.lit(1)).alias("all_f")), "field").select("field", "sign", (F.col("n_f") / F.col("all_f")).alias("p_f"))
-    of_kind = of_field.groupBy("field", F.substring("sign", 1, 1).alias("_kind")).agg(F.sum("p_f").alias("p_kind"))  # three rows a field
-    of_field = of_field.withColumn("_kind", F.substring("sign", 1, 1)).join(F.broadcast(of_kind), ["field", "_kind"]).drop("_kind")
-    of_name = told.where("field is null").select("_feed", "name", "sign", "n")
-    of_name = of_name.join(of_name.groupBy("_feed", "name").agg(F.sum(once).alias("all_n")), ["_feed", "name"]).select("_feed", "name", "sign", (F.col("n") / F.col("all_n")).alias("p"))
-    shared = F.when(F.col("sign").rlike("^[TX]"), F.col("p")).otherwise((F.least("p", "p_f") + F.col("p") * F.col("p_kind")) / 2)
-    told = open_.select("_feed", "name", "field").join(of_name, ["_feed", "name"]).join(of_field, ["field", "sign"])
-    alike = open_.join(told.groupBy("_feed", "name", "field").agg(F.least(F.sum(shared), F.lit(1.0)).alias("alike")), ["_feed", "name", "field"], "left")
-    filled = of_name.select("_feed", "name").distinct().withColumn("_filled", F.lit(True))
-    alike = alike.join(filled, ["_feed", "name"], "left").withColumn("alike", F.coalesce("alike", F.when(F.col("_filled"), 0.0).otherwise(0.5)))
+    same = Window.partitionBy("name", "field")
+    open_ = pairs.withColumn("against", F.sum("beside").over(same) / F.sum("n").over(same)).where("beside = 0").select("_feed", "name", "field", "against", "near")
+
+    kind = F.substring("sign", 1, 1)
+    told = facts.where(F.col("sign").isNotNull()).select("_feed", "name", "field", "sign", "n", kind.alias("kind"))
+    once = F.sum(F.when(F.col("kind") != "X", F.col("n")))
+    of_field = told.where("field is not null").select("field", "sign", F.col("n").alias("n_f"))
+    # three rows a field: how many of its cells are of a kind, and how many there are
+    of_kind = told.where("field is not null").groupBy("field", "kind").agg(F.sum("n").alias("n_kind"), F.coalesce(once, F.lit(0)).alias("_once"))
+    of_kind = of_kind.withColumn("all_f", F.greatest(F.sum("_once").over(Window.partitionBy("field")), F.lit(1))).drop("_once")
+    of_name = told.where("field is null").select("_feed", "name", "sign", "kind", "n")
+    filled = told.where("field is null").groupBy("_feed", "name").agg(once.alias("all_n"))
+    p, p_f, p_kind = (F.col(x) / F.col(y) for x, y in (("n", "all_n"), ("n_f", "all_f"), ("n_kind", "all_f")))
+    shared = F.when(F.col("n_f").isNull(), 0.0).when(F.col("kind").isin("T", "X"), p).otherwise((F.least(p, p_f) + p * p_kind) / 2)
+    met = open_.join(filled, ["_feed", "name"], "left").join(of_name, ["_feed", "name"], "left").join(of_field, ["field", "sign"], "left").join(F.broadcast(of_kind), ["field", "kind"], "left")
+    seen = [F.first(c).alias(c) for c in ("against", "near", "all_n")]
+    alike = met.groupBy("_feed", "name", "field").agg(F.least(F.sum(F.coalesce(shared, F.lit(0.0))), F.lit(1.0)).alias("alike"), *seen)
+    alike = alike.withColumn("alike", F.when(F.col("all_n").isNull(), 0.5).otherwise(F.col("alike")))
     cost = F.round(F.lit(TIE) + (1.0 - TIE) * 2.0 * (1.0 - F.col("alike")) + F.col("against") - NEAR * F.col("near"), 6)
     near = alike.withColumn("cost", cost).where("cost < 1.0")
     return near.groupBy("_feed").agg(F.to_json(F.array_sort(F.collect_list(F.struct("name", "field", "cost")))).alias("ties"))
