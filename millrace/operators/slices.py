@@ -15,7 +15,7 @@ def find_hot(moments: DataFrame, hot_rows: int) -> list[tuple[int, int, list[int
     """Of ``_k1, _k2, _at``: the keys with more than ``hot_rows`` rows and a PARTS-th of all, each with its slices' starts.
 
     Slices hold about equally many rows, that many at most: their starts are quantiles of the key's
-    instants.  What is sent to the driver are at most PARTS keys and 2 * PARTS instants.
+    instants.  What is sent to the driver are at most PARTS keys with PARTS instants each.
     """
     counts = moments.groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n").alias("n")).first().n or 0
